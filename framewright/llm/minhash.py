@@ -99,15 +99,15 @@ def _range_sql(ends: list[int], low: int = 0) -> str:
     return f"CASE WHEN __fw_key <= {_sql_long(ends[mid - 1])} THEN {_range_sql(ends[:mid], low)} ELSE {_range_sql(ends[mid:], low + mid)} END"
 
 
-def with_next(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: dict[str, str], ids: DataFrame) -> DataFrame:
     """Each row with columns of the next row, descending doc_id (null last, ties by text); after the last the first.
 
-    columns: a column's name -> its name as the next row's. Rows are dealt by ranges of doc_id whose upper
+    columns: a column's name -> its name as the next row's. ids: the same doc_id values, read for the ranges alone. Rows are dealt by ranges of doc_id whose upper
     ends are ids of the table, so the first row of a range is known and a copy of it closes the range
     before. One shuffle; no task sees more than a range.
     """
     n = min(RANGES, max(1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ends, top = docs.agg(F.percentile_approx(_key(), [k / n for k in range(1, n + 1)], 20 * n), F.max(_key())).first()
+    ends, top = ids.agg(F.percentile_approx(_key(), [k / n for k in range(1, n + 1)], 20 * n), F.max(_key())).first()
     ends = sorted({*(ends or []), *([top] if top is not None else [])}) or [0]  # one number a range, RANGES at most
     keyed = docs.withColumn("__fw_key", _key()).withColumn("__fw_range", F.expr(_range_sql(ends)))
     last = F.lit(len(ends))
@@ -130,7 +130,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     Repeated rows follow each other; a null doc_id comes last; an empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = with_next(with_fingerprint(base, "text", "fingerprint"), {"text": "next_text", "fingerprint": "next_fingerprint"})
+    both = with_next(with_fingerprint(base, "text", "fingerprint"), {"text": "next_text", "fingerprint": "next_fingerprint"}, docs.select(F.col("doc_id").cast("long").alias("doc_id")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = (
         both.withColumn("n_chars", F.char_length("text").cast("long"))
