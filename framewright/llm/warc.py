@@ -177,8 +177,10 @@ def assemble(records: DataFrame) -> DataFrame:
         of("'metadata'", "record_id", "page_id").alias("metadata"),
     )
     first = nested.where("response.type = 'response'").select(F.col("transaction").alias("id"), F.struct(F.col("metadata.page_id").alias("page_id"), "response.payload_bytes", "response.payload_digest").alias("first"))
-    joined = nested.join(first, F.when(F.col("response.type") == "revisit", F.col("response.refers_to")) == F.col("id"), "left")
-    revisit = F.col("response.type") == "revisit"
+    revisit = F.coalesce(F.col("response.type") == "revisit", F.lit(False))
+    # captures that refer to none get keys of their own, so that they don't meet in one task
+    wanted = F.when(revisit, F.col("response.refers_to")).otherwise(F.concat(F.lit("none of "), "transaction"))
+    joined = nested.join(first, wanted == F.col("id"), "left")
     return joined.select(
         "transaction", "request",
         F.when(F.col("response").isNotNull(), F.struct(
