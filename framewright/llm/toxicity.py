@@ -13,7 +13,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -256,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                     if got and (v := max(weight(p - y, q - 1 + y, all_pos - y, all_neg - 1 + y) for p, q in got)) > 0:
                         values.append(v)
                 rows.append((*evidence(values), y))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["top", "total", "y"]), preserve_index=False)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.int64()))], ["top", "total", "y"])
 
     rows = train.mapInArrow(left_out, "top double, total double, y long").toPandas()
     line = _fit_logistic(rows[["top", "total"]].to_numpy(), rows["y"].to_numpy())

@@ -1,0 +1,367 @@
+"""The operators against brute-force versions, exact round trips, DuckDB and held-out accuracy."""
+
+import hashlib
+import itertools
+import os
+import random
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from framewright.llm import chat, common, decontaminate, html, minhash, packing, secrets, simhash, tokens, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+BIG = "/root/testdata/sf0.1"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+needs_words = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="needs the vocabulary")
+
+
+def table(spark, name, sf=SF):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def slow_simhash(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ")
+    words = [w for w in words if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_fingerprint():
+    for t in ("", "one", "One TWO", "a b c", "a\tb\nc d\x0be", "ÄÖ ä é\xa0x", "x " * 999, "İ i ı"):
+        assert simhash.fingerprint(t) == slow_simhash(t)
+    assert simhash.fingerprint(None) == 0
+
+
+@needs_data
+def test_simhash_components(spark):
+    got = {r.doc_id: r for r in simhash.near_duplicates(table(spark, "documents")).collect()}
+    rows = [(r.doc_id, slow_simhash(r.text or "")) for r in table(spark, "documents").select("doc_id", "text").collect()]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, x), (b, y) in itertools.combinations(rows, 2):
+        if (x ^ y).bit_count() <= 2:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{f:016x}", find(i)) for i, f in rows}
+
+
+def test_tile_links_and_hubs_equal_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    centre = r.integers(0, 1 << 63, 6, dtype=np.uint64)
+    values = {int(c) ^ sum(1 << int(b) for b in set(r.integers(0, 64, k))) for c in centre for k in (0, 1, 1, 2, 2, 2, 3, 3, 4, 5)}
+    v = np.array(sorted(values), np.uint64)
+    want = {i: i for i in range(len(v))}
+
+    def find(m, i):
+        while m[i] != i:
+            i = m[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(v)), 2):
+        if (int(v[i]) ^ int(v[j])).bit_count() <= 2:
+            a, b = sorted((find(want, i), find(want, j)))
+            want[b] = a
+    groups = {tuple(sorted(int(v[i]) for i in range(len(v)) if find(want, i) == k)) for k in {find(want, i) for i in range(len(v))}}
+
+    def grouped(edges):
+        mine = {int(x): int(x) for x in v}
+        for a, b in edges:
+            mine.setdefault(a, a), mine.setdefault(b, b)
+            a, b = sorted((find(mine, a), find(mine, b)))
+            mine[b] = a
+        return {tuple(sorted(int(x) for x in v if find(mine, int(x)) == k)) for k in {find(mine, int(x)) for x in v}}
+
+    assert grouped(zip(*(x.tolist() for x in simhash.tile_links(v, tile=7)), strict=True)) == groups
+    frame = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
+    for hot in (4096, 2):
+        monkeypatch.setattr(simhash, "HOT_CELL", hot)
+        edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(frame).collect()]
+        assert grouped(edges) == groups
+
+
+def test_components(spark):
+    r = random.Random(2)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(80)] + [(5, 5)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+@pytest.fixture(scope="module")
+def restorer():
+    text = ("the idiot was stupid and worthless but the moron is here with a loser and the clown in the trash " * 40 + "it will eat all the best seats ").lower()
+    c = toxicity.classes(f"\n\n{text}\n").astype(np.int64)
+    grams, counts = np.unique((c[:-2] * 64 + c[1:-1]) * 64 + c[2:], return_counts=True)
+    return toxicity.Restorer(grams, counts)
+
+
+@pytest.mark.parametrize(("token", "want"), [("1d10t", "idiot"), ("id!ot", "idiot"), ("$tup1d", "stupid"), ("stuuuupid", "stupid"), ("w0rthl3ss", "worthless"), ("m.o.r.o.n", "moron"), ("idiot###", "idiot"), ("moron,", "moron"), ("stupid", "stupid"), ("tr@sh!!", "trash")])
+def test_restoration(token, want, restorer):
+    assert restorer.word(token) == want
+
+
+def test_spaced_letters(restorer):
+    assert "idiot" in restorer.words("you are an i d i o t today") and "moron" in restorer.words("m-o-r-o-n")
+
+
+@needs_data
+def test_toxicity_held_out(spark):
+    got = toxicity.toxicity(table(spark, "documents", BIG), table(spark, "labels", BIG)).toPandas()
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
+    m = got[got.held_out].merge(table(spark, "labels", BIG).toPandas(), on="doc_id")
+    hit = ((m.predicted == 1) & (m.toxic == 1)).sum()
+    assert hit / m.predicted.sum() > 0.95 and hit / m.toxic.sum() > 0.9
+
+
+def slow_distance(item, region):
+    row = [0] * (len(region) + 1)
+    for i, a in enumerate(item):
+        new = [i + 1]
+        for j, b in enumerate(region):
+            new.append(min(row[j] + (a != b), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_edit_distance():
+    r = random.Random(4)
+    for _ in range(60):
+        item, region = "".join(r.choice("abc ") for _ in range(r.randint(1, 90))), "".join(r.choice("abc ") for _ in range(r.randint(0, 120)))
+        assert decontaminate.edit_distance(item, region)[0] == slow_distance(item, region)
+
+
+@needs_data
+def test_decontamination_finds_what_brute_force_finds(spark):
+    items = [(r.item_id, decontaminate.normalise(r.text)) for r in table(spark, "benchmark").collect()]
+    docs = [(r.doc_id, decontaminate.normalise(r.text)) for r in table(spark, "documents").collect() if len(r.text) < 6000]
+    want = {(d, i) for d, t in docs for i, n in items if decontaminate.edit_distance(n, t)[0] <= int(0.2 * len(n) + 1e-9)}
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(table(spark, "documents"), table(spark, "benchmark")).collect()}
+    kept = {d for d, _ in docs}
+    assert len({k for k in got if k[0] in kept} & want) >= 0.95 * len(want) and {k for k in got if k[0] in kept} <= want
+
+
+@needs_data
+@pytest.mark.parametrize(("rate", "least"), [(0.05, 0.99), (0.1, 0.97), (0.15, 0.9)])
+def test_decontamination_recall(rate, least, spark):
+    items = [(r.item_id, r.text) for r in table(spark, "benchmark", BIG).collect()]
+    r, texts = random.Random(5), []
+    for _, t in items:
+        s = list(decontaminate.normalise(t))
+        for _ in range(int(rate * len(s))):
+            k, o = r.randrange(len(s)), r.random()
+            s[k : k + (o > 0.33)] = r.choice("abcdefghijklmnop ") if o < 0.67 else ""
+        texts.append("some words before " + "".join(s) + " and some after")
+    found = decontaminate.Index(items).matches(texts, decontaminate.SIMILARITY)
+    assert sum(k in f for k, f in enumerate(found)) / len(texts) >= least
+
+
+@needs_data
+def test_warc_round_trip(spark, tmp_path):
+    pages = table(spark, "pages")
+    pages = pages.union(pages.selectExpr("page_id + 1000", "url", "html").where("page_id < 1010"))
+    path = str(tmp_path / "w")
+    warc.write(pages, path)
+    records = list(itertools.chain.from_iterable(warc.Reader(open(os.path.join(path, f), "rb").read()) for f in sorted(os.listdir(path)) if f.startswith("part")))
+    assert len(records) == 3 * pages.count() and {h["warc-type"] for h, _ in records} == {"request", "response", "revisit", "metadata"}
+    nested = {r.metadata.page_id: r for r in warc.assemble(warc.read(spark, path)).collect()}
+    html_of = {r.page_id: r.html for r in pages.collect()}
+    first = {}
+    for k in sorted(html_of):
+        first.setdefault(html_of[k], k)
+    for k, h in html_of.items():
+        r = nested[k].response
+        raw = h.encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest()) and r.stated_digest == r.payload_digest
+        again = len(raw) >= 100 and first[h] != k
+        assert (r.type, r.refers_to_page) == (("revisit", first[h]) if again else ("response", None)) and (again or bytes(r.payload) == raw)
+
+
+def test_warc_reader_of_members_and_plain():
+    import gzip
+
+    one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\na\r\n\r\nWARC\r\n\r\n"
+    for data in (one * 3, gzip.compress(one) * 3, gzip.compress(one * 3)):
+        assert [b for _, b in warc.Reader(data)] == [b"a\r\n\r\nWARC"] * 3
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.Reader(one[:-14]))
+
+
+@needs_data
+def test_minhash(spark):
+    rows = {r.doc_id: r.text or "" for r in table(spark, "documents").collect()}
+    order = sorted(rows, reverse=True)
+    errors = []
+    for r in minhash.edited_fingerprints(table(spark, "documents")).collect():
+        text, after = rows[r.doc_id], rows[order[(order.index(r.doc_id) + 1) % len(order)]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in (text, edited, after)]
+        for near, other in ((r.near_edited, sets[1]), (r.near_next, sets[2])):
+            assert 0 <= near <= 1
+            errors.append(near - len(sets[0] & other) / max(1, len(sets[0] | other)))
+    assert abs(np.mean(errors)) < 0.01 and np.abs(errors).max() < 0.2
+
+
+def test_minhash_estimates_without_bias(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(300):
+        a = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        rows.append((k, " ".join(a), " ".join(a[:30] + [f"v{r.randrange(10**6)}" for _ in range(30)])))
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    df = minhash.with_fingerprint(minhash.with_fingerprint(df, "a", "fa"), "b", "fb").select(minhash.likeness(minhash.F.col("fa"), minhash.F.col("fb")).alias("x"))
+    assert abs(np.mean([x.x for x in df.collect()]) - 26 / 86) < 0.015
+
+
+def test_forest_separates_held_out_findings(spark):
+    trees = secrets.train(spark)
+    test = secrets.labelled_findings(spark, 1000, seed=99)
+    f = secrets.F
+    values = test.select("label", f.explode(f.array(f.array(*secrets.features(f.col("candidate"), f.col("before"), f.col("after"), f.col("path"))))).alias("v"))
+    got = values.select("label", f.expr(secrets.probability_sql(trees, "v")).alias("p")).collect()
+    assert sum((r.p >= 0.5) == (r.label == 1) for r in got) / len(got) > 0.95
+
+
+@needs_data
+def test_secret_spans_and_redaction(spark):
+    trees = secrets.train(spark)
+    docs = table(spark, "documents", "/root/testdata/sf0.01")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = secrets.scan(docs, trees).collect()
+    for r in found:
+        part = texts[r.doc_id][r.start : r.start + r.length]
+        assert hashlib.sha256(part.encode()).hexdigest() == r.sha256
+    want = {i for i, t in texts.items() if "token" in t.lower() and __import__("re").search(r'(?i)token\W+"\W*[0-9a-f]{40}"', t)}
+    assert want <= {r.doc_id for r in found if r.is_secret}
+    clean = {r.doc_id: r for r in secrets.redact(docs, trees).collect()}
+    for i, t in texts.items():
+        for r in sorted((r for r in found if r.doc_id == i and r.is_secret), key=lambda r: -r.start):
+            t = t[: r.start] + secrets.MASK + t[r.start + r.length :]
+        assert clean[i].text == t and clean[i].n_chars == len(t)
+
+
+def test_bucket_boundaries_are_optimal():
+    r = random.Random(7)
+    for _ in range(30):
+        h = {r.randint(0, 30): r.randint(1, 9) for _ in range(r.randint(1, 9))}
+        for buckets in (1, 2, 3):
+            keys = sorted(h)
+            best = min(sum(n * (min(t for t in (*c, keys[-1]) if t >= x) - x) for x, n in h.items()) for c in itertools.combinations_with_replacement(keys, buckets - 1))
+            tops = packing.boundaries(h, buckets)
+            assert len(tops) <= buckets and sum(n * (min(t for t in tops if t >= x) - x) for x, n in h.items()) == best
+
+
+@needs_data
+def test_packing_batches(spark):
+    docs = table(spark, "documents")
+    rows = packing.pack(docs, max_length=256, buckets=4, budget=1024).collect()
+    want = {(r.doc_id, k): n for r in docs.collect() for k, n in ((k, min(256, len(r.text.split()) - k * 256)) for k in range(max(1, -(-len(r.text.split()) // 256))))}
+    assert {(r.doc_id, r.piece): r.n_tokens for r in rows} == want and len(rows) == len(want)
+    sizes = {}
+    for r in rows:
+        assert r.n_tokens <= r.padded_length
+        sizes.setdefault((r.bucket, r.padded_length), []).append((r.batch, r.slot))
+    for (_, top), places in sizes.items():
+        fit = max(1, 1024 // max(1, top))
+        assert sorted(places) == [(k // fit, k % fit) for k in range(len(places))]
+
+
+@needs_words
+def test_token_spans_and_rules():
+    e = tokens.Encoder(tokens.load_ranks(tokens.VOCABULARY))
+    for text in ("", "a", "Hello world\nnext  line\n\n", "naïve 😀 ünï\n" * 5, "x" * 5000):
+        starts, ends = e.spans(text)
+        raw, at = text.encode(), 0
+        for s, t, i in zip(starts, ends, e.encoding.encode_ordinary(text), strict=True):
+            size = e.sizes[i]
+            assert s == len(raw[:at].decode("utf-8", "ignore")) or raw[at] & 0xC0 == 0x80
+            assert t >= s + 1 and (raw[at : at + size].decode("utf-8", "ignore") in text[s:t])
+            at += size
+        assert at == len(raw)
+        for rule in ("start", "majority"):
+            bounds = tokens.line_bounds(text)
+            assert tokens.attribute(starts, ends, bounds, rule).sum() == len(starts)
+            slow = [0] * len(bounds)
+            for s, t in zip(starts.tolist(), ends.tolist(), strict=True):
+                chars = [next(k for k, b in enumerate(bounds) if c < b) for c in range(s, t)]
+                slow[chars[0] if rule == "start" else max(sorted(set(chars)), key=chars.count)] += 1
+            assert tokens.attribute(starts, ends, bounds, rule).tolist() == slow
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<nav><a href=x>Menu</a></nav><article><h1>T</h1><p>One &amp; two<p>three <b>bold</b>ly</article><footer>F</footer>", "T One & two three boldly"),
+        ("<article><p>Keep</p><aside>side</aside><form><input>f</form><div class='ad'>ad</div><section class=comments><p>c</p></section></article>", "Keep"),
+        ("<script>var t='</p>';</script><style>p{}</style><article>a<!-- x -->b<br>c</article>", "ab c"),
+        ("<body><div id=sidebar>Some links and a long text about nothing in particular.</div><div><p>A long enough paragraph of text to surge over the line.</p><p>Short.</p></div><div class='cookie-notice'>We use cookies on this page.</div></body>", "A long enough paragraph of text to surge over the line. Short."),
+        ("<article>x &lt;b&gt; &eacute; &#233;&nbsp;y</article>", "x <b> é é y"), ("", ""), ("plain", "plain"), ("<p>unclosed <b>tag", "unclosed tag"), ("<article><p>a</p></article><article><p>longer text wins</p></article>", "longer text wins"),
+        ("<article><header><h1>Title</h1></header><p>Body</p></article>", "Title Body"), ("<main><p>Body</p></main><div class=comments>no</div>", "Body"),
+    ],
+)
+def test_html(page, want):
+    assert html.main_text(page) == want
+
+
+def test_surge_and_dive():
+    assert html.runs([5, 60, 10, 0, 0, 0, 0, 45, 0, 50, 0, 0, 0]) == [(0, 3), (7, 10)] and html.runs([]) == []
+
+
+@needs_data
+def test_preferences_equal_sql(spark):
+    got = chat.preferences(table(spark, "conversations")).toPandas()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    want = c.sql(chat.PREFERENCES_SQL).df()
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert got[cols].sort_values("pair_id").fillna(-1).values.tolist() == want[cols].sort_values("pair_id").fillna(-1).values.tolist()
+
+
+def test_common_prefix_and_masks(spark):
+    t = spark.createDataFrame([(c, k, "user" if k % 2 == 0 else "assistant", x) for c, xs in ((0, "abcd"), (1, "abxy")) for k, x in enumerate(xs)], "conv_id long, turn long, role string, text string")
+    r = chat.preferences(t).first()
+    assert (r.n_prompt_turns, r.prompt) == (2, "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n")
+    assert r.chosen == "<|im_start|>user\nc<|im_end|>\n<|im_start|>assistant\nd<|im_end|>\n" and r.chosen_mask == "0:29,0:22,1:11,0:1"
+    assert sum(int(x.split(":")[1]) for x in r.chosen_mask.split(",")) == len(r.chosen)
+
+
+@needs_data
+def test_pipeline(spark):
+    """Each stage against a plain version over the stage's own input."""
+    docs = table(spark, "documents")
+    toxic = {r.doc_id for r in toxicity.toxicity(docs, table(spark, "labels")).collect() if r.predicted}
+    one = corpus_pipeline.drop_toxic(spark, docs, SF)
+    kept = sorted(r.doc_id for r in one.collect())
+    assert kept == sorted(r.doc_id for r in docs.collect() if r.doc_id not in toxic)
+    roots = {r.component_id for r in simhash.near_duplicates(one).collect()}
+    two = corpus_pipeline.drop_near_duplicates(spark, one, SF)
+    assert sorted(r.doc_id for r in two.collect()) == sorted(roots)
+    leaks = {r.doc_id for r in decontaminate.matches(two, table(spark, "benchmark")).collect()}
+    three = corpus_pipeline.drop_contaminated(spark, two, SF)
+    assert {r.doc_id for r in three.collect()} == roots - leaks
+    final = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in final} == roots - leaks
