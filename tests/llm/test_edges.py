@@ -31,7 +31,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(k, 1, int(k % 6 == 1)) for k in range(12)] + [(None, 1, 1), (3, 1, None), (3, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame([(k, 1, int(k == 1)) for k in range(12)] + [(None, 1, 1), (7, 1, None), (7, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
 
 
 @pytest.fixture(scope="module")
