@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts (column number text) come to about `most` bytes, so that a worker holds little at once."""
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
+    begin = held = 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            yield batch.slice(begin, k + 1 - begin)
+            begin, held = k + 1, 0
+    if begin < len(sizes) or not sizes:
+        yield batch.slice(begin)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Edit similarity (1 - distance / item length) from which a passage counts as the item.
 SIMILARITY = 0.8
 REPETITIONS = 10
@@ -34,7 +36,7 @@ SHORT_ITEM = WINDOWS[0]
 BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4_000_000
 #: Characters of documents that are walked at once.
 CHUNK = 1 << 19
-_BITMAP = 22
+_BITMAP = 21
 #: Samples are kept as a polynomial of this odd number, modulo 2 ** 64.
 _ODD = np.int64(1_000_003)
 
@@ -265,7 +267,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for b in batches:
+            for b in (x for batch in batches for x in slices(batch, 1)):
                 ids, rows = b.column(0).to_pylist(), []
                 for doc, found in zip(ids, index.matches(b.column(1).to_pylist(), similarity), strict=True):
                     for k, (distance, end) in sorted(found.items()):
@@ -287,7 +289,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = S
         shared = docs.sparkSession.sparkContext.broadcast(Index(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (x for batch in batches for x in slices(batch, at)):
                 yield b.filter(pa.array([not m for m in shared.value.matches(b.column(at).to_pylist(), similarity)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

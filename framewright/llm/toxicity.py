@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Labelled documents the classifier is fitted on at most, the first by hash of doc_id.
 TRAIN_ROWS = 20_000
 #: Features kept in the model at most, the strongest by likelihood ratio.
@@ -29,7 +31,7 @@ TOP = 5
 #: Lengths of the word openings that are features beside the word itself.
 OPENINGS = (4, 5)
 #: Words kept in a worker's memory before the memo is emptied.
-MEMO = 400_000
+MEMO = 150_000
 
 #: Readings of characters used for letters.
 LEET = {
@@ -73,7 +75,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 0)):
             joined = "\n\n".join(t for t in b.column(0).to_pylist() if t)
             for i in range(0, len(joined), 1 << 20):
                 c = classes("\n\n" * (i == 0) + joined[max(0, i - 2) : i + (1 << 20)].lower()).astype(np.int32)
@@ -225,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         restorer = Restorer(*tables.value)
         seen: dict[str, list[int]] = {}
         n = [0, 0]
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 1)):
             for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 n[y > 0] += 1
                 for f in {f for w in restorer.words(text or "") for f in features(w)}:
@@ -246,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Evidence of each training document under counts without itself."""
         restorer, known = Restorer(*tables.value), shared.value
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 1)):
             rows = []
             for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 y, values = int(y > 0), []
@@ -291,7 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(shared.value)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, 1)):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t) for t in b.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -304,7 +306,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(shared.value)
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, at)):
             yield b.filter(pa.array([of(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
