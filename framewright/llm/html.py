@@ -146,11 +146,11 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def runs(lengths: list[int]) -> list[tuple[int, int]]:
+def runs(lengths: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
     """Runs [start, stop) of lines between a surge point and its dive point.
 
     The block size of a line is the text of WINDOW lines from it on. A line surges if its block size
-    reaches SURGE and its own text is not nothing; the run dives at the first block without text.
+    reaches surge and its own text is not nothing; the run dives at the first block without text.
     """
     n = len(lengths)
     sums = [0] * (n + 1)
@@ -159,7 +159,7 @@ def runs(lengths: list[int]) -> list[tuple[int, int]]:
     block = [sums[min(n, k + WINDOW)] - sums[k] for k in range(n)]
     out, k = [], 0
     while k < n:
-        if block[k] >= SURGE and lengths[k]:
+        if block[k] >= surge and lengths[k]:
             stop = k
             while stop < n and block[stop]:
                 stop += 1
@@ -173,9 +173,9 @@ def runs(lengths: list[int]) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """The main text of a page; '' for null, empty or text-free pages.
 
-    Lines inside an article or main element are the page's own statement of its main text: the line-block
-    search is then over these lines alone, with surge at any text. Else it is over all lines out of furniture
-    whose text is not mostly links, and the run with most text wins.
+    Lines inside an article or main element are the page's own statement of its main text: where there are any,
+    the lines outside the one with most text count as no text, any text surges, and all runs are kept. Else
+    lines of mostly links count as no text, SURGE characters surge, and the run with most text is kept.
     """
     all_lines = lines(page or "")
     weight: dict[int, int] = {}
@@ -184,15 +184,13 @@ def main_text(page: str | None) -> str:
             weight[a] = weight.get(a, 0) + len(t) - linked
     if weight and max(weight.values()) > 0:
         best = max(weight, key=lambda a: (weight[a], -a))
-        kept = [t for t, _, a in all_lines if a == best]
-        lengths = [len(t) for t in kept]
-        return " ".join(t for t, n in zip(kept, lengths, strict=True) if n)
-    lengths = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in all_lines]
-    found = runs(lengths) or ([(0, len(lengths))] if any(lengths) else [])
-    if not found:
-        return ""
-    start, stop = max(found, key=lambda r: (sum(lengths[r[0] : r[1]]), -r[0]))
-    return " ".join(t for (t, _, _), n in zip(all_lines[start:stop], lengths[start:stop], strict=True) if n)
+        lengths = [len(t) if a == best else 0 for t, _, a in all_lines]
+        found = runs(lengths, 1)
+    else:
+        lengths = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in all_lines]
+        found = runs(lengths) or ([(0, len(lengths))] if any(lengths) else [])
+        found = [max(found, key=lambda r: (sum(lengths[r[0] : r[1]]), -r[0]))] if found else []
+    return " ".join(all_lines[k][0] for start, stop in found for k in range(start, stop) if lengths[k])
 
 
 def extract(pages: DataFrame) -> DataFrame:
