@@ -365,3 +365,15 @@ def test_pipeline(spark):
     assert {r.doc_id for r in three.collect()} == roots - leaks
     final = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in final} == roots - leaks
+
+
+@needs_data
+def test_html_of_whole_pages_equals_their_article(spark):
+    import re
+    from html import unescape
+
+    want = {}
+    for r in table(spark, "pages").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        want[r.page_id] = " ".join(unescape(re.sub(r"<[^>]+>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", inner)).split())
+    assert {r.page_id: r.text for r in html.extract(table(spark, "pages")).collect()} == want
