@@ -271,6 +271,30 @@ def dialect_subscript(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(normalise.normalise("SELECT vec_id, embedding[1] AS first_value, ['a', 'b'][2] AS b FROM {e}"), e=table(spark, d, "embeddings"))
 
 
+def dialect(name: str, text: str, tables: str, oracle: str | None = None) -> None:
+    """A query in the dialect; the oracle is the same text unless given."""
+    from . import normalise
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        for t in tables.split():
+            table(spark, d, t).createOrReplaceTempView(t)
+        return spark.sql(normalise.normalise(text))
+
+    query(name, oracle or text)(run)
+
+
+dialect("dialect_arrays", "SELECT p_partkey, array_to_string(list_concat([p_size, 7], [p_partkey % 5]), '-') AS c, array_to_string(array_slice([1, p_size, 3, 4], 2, 3), '-') AS s, list_contains([3, 7], p_size % 9) AS h, gcd(p_size, 36) AS g, array_to_string(array_reverse([p_size, 1]), '-') AS r FROM part", "part")
+dialect("dialect_text", "SELECT c_custkey, regexp_replace(c_name, '\\d', '#') AS first_digit, regexp_replace(c_name, '\\d', '#', 'g') AS digits, ltrim(c_name, 'Cu') AS l, array_to_string(string_to_array(c_name, '#'), '|') AS parts, to_hex(c_custkey) AS h, CAST(c_custkey AS VARCHAR) AS t FROM customer", "customer",
+        "SELECT c_custkey, regexp_replace(c_name, '\\d', '#') AS first_digit, regexp_replace(c_name, '\\d', '#', 'g') AS digits, ltrim(c_name, 'Cu') AS l, array_to_string(string_split(c_name, '#'), '|') AS parts, lower(to_hex(c_custkey)) AS h, CAST(c_custkey AS VARCHAR) AS t FROM customer")
+dialect("dialect_ordered_aggregates", "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_name DESC), ',') AS names, string_agg(n_name, ';' ORDER BY n_nationkey) AS listed, first_value(n_name ORDER BY n_nationkey DESC) AS newest FROM nation GROUP BY n_regionkey", "nation",
+        "SELECT n_regionkey, array_to_string(array_agg(n_name ORDER BY n_name DESC), ',') AS names, string_agg(n_name, ';' ORDER BY n_nationkey) AS listed, first(n_name ORDER BY n_nationkey DESC) AS newest FROM nation GROUP BY n_regionkey")
+dialect("dialect_distinct_on", "SELECT DISTINCT ON (user_id) user_id, event_id, value FROM events ORDER BY user_id, value DESC, event_id", "events")
+dialect("dialect_right_semi", "SELECT o.o_orderkey FROM customer c RIGHT SEMI JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0", "customer orders", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+dialect("dialect_any_similar", "SELECT p_partkey FROM part WHERE p_size = ANY([1, 5, 9]) OR p_name ~* 'BLUE' OR p_brand SIMILAR TO 'Brand#(1|2)_'", "part", "SELECT p_partkey FROM part WHERE p_size = ANY([1, 5, 9]) OR regexp_matches(p_name, '(?i)BLUE') OR regexp_full_match(p_brand, 'Brand#(1|2).')")
+dialect("dialect_date_bin", "SELECT event_id, to_unixtime(date_bin(INTERVAL '15' MINUTE, ts)) AS b FROM events", "events", "SELECT event_id, CAST(epoch_us(ts) // 900000000 * 900 AS BIGINT) AS b FROM events")
+dialect("dialect_series", "SELECT value AS n FROM generate_series(1, 20, 3)", "", "SELECT generate_series AS n FROM generate_series(1, 20, 3)")
+
+
 @query("div_semantics", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey // 7 AS BIGINT) AS q, l_orderkey % 7 AS r, gcd(l_orderkey, 36) AS g, lcm(CAST(l_linenumber AS BIGINT), 6) AS m FROM lineitem")
 def div_semantics(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem")

@@ -19,11 +19,12 @@ from .catalog.store import TERMINAL, Catalog, Entry, Snapshot
 from .errors import EngineError
 from .functions import spatial
 from .models import runtime
+from .operators import relational
 from .plans import lexer, normalise, statements
 from .sources import live, media
 from .streaming import sink, validate
 
-TASK = re.compile(r"^[A-Za-z]+_(CLASSIFY|DETECT|EXTRACT)$", re.I)
+TASK = re.compile(r"^(?!(?:map|regexp|array|list)_)[A-Za-z]+_(CLASSIFY|DETECT|EXTRACT)$", re.I)
 SECRET_KEY = re.compile(r"credential|password|secret|token", re.I)
 PRODUCT = "Framewright"
 
@@ -112,7 +113,14 @@ class Session:
         for e in snapshot.all("FUNCTION"):
             if e.body["language"] == "PYTHON" and any(t.kind == "name" and t.value.lower() == e.name for t in ts):
                 self.spark.udf.register(e.name, self._python_function(e))
-        df = self.spark.sql(normalise.normalise(sql))
+        sides = normalise.by_name_sides(sql)
+        if sides:
+            df = self.plan(sides[0], snapshot, check)
+            for distinct, side in sides[1]:
+                df = relational.union_by_name(df, self.plan(side, snapshot, check))
+                df = df.distinct() if distinct else df
+        else:
+            df = self.spark.sql(normalise.normalise(sql))
         if check:
             validate.validate(df)
         return df

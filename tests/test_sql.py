@@ -36,6 +36,37 @@ def test_dialect(text, want, s, spark):
     assert spark.sql(normalise(text, {"twice": Macro("twice", ("x",), "x * 2")})).first()[0] == want
 
 
+#: Expressions of the dialect and their values.
+CALLS = [
+    ("gcd(12, 18)", 6), ("lcm(4, 6)", 12), ("iszero(0)", True), ("trunc(-1.75)", -1), ("concat('a', NULL, 'b')", "ab"), ("btrim('xxaxx', 'x')", "a"), ("ltrim('xxa', 'x')", "a"), ("to_hex(255)", "ff"),
+    ("encode('abc', 'hex')", "616263"), ("encode(sha256('a'), 'hex')", "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb"), ("regexp_match('abc', '(b)(c)')", ["b", "c"]), ("regexp_match('abc', 'z')", None),
+    (r"regexp_replace('a1b2', '\d', '<\0>')", "a<1>b2"), ("regexp_replace('aba', 'A', 'x', 'gi')", "xbx"), (r"'a1' ~ '\d'", True), ("'abc' ~* 'B'", True), ("'abc' !~* 'B'", False), ("'abc' SIMILAR TO 'a(b|x)_'", True), ("'it''s'", "it's"),
+    ("string_to_array('a.b', '.')", ["a", "b"]), ("array_slice([1, 2, 3, 4], -3, -2)", [2, 3]), ("array_remove([1, 2, 1], 1)", [2, 1]), ("array_remove_all([1, 2, 1], 1)", [2]), ("array_replace_n([1, 1, 1], 1, 9, 2)", [9, 9, 1]),
+    ("array_position([5], 6)", None), ("array_positions([5, 6, 5], 5)", [1, 3]), ("array_resize([1], 3, 0)", [1, 0, 0]), ("array_sort([2, NULL, 1], 'DESC', 'NULLS LAST')", [2, 1, None]), ("array_ndims([[1], [2]])", 2), ("list_concat([1], list_append([2], 3))", [1, 2, 3]),
+    ("range(0)", []), ("range(1, 3)", [1, 2]), ("map_extract(MAP {'a': 1}, 'b')", []), ("[1, 2][5]", None), ("3 = ANY([1, 3])", True), ("CAST(1 AS VARCHAR)", "1"), ("1::text", "1"), ("arrow_cast('7', 'Int64')", 7),
+    ("to_char(TIMESTAMP '2024-01-02 10:07:00', '%d/%m at %H:%M')", "02/01 at 10:07"), ("to_unixtime(date_bin(INTERVAL '15 minutes', TIMESTAMP '1970-01-01 00:20:00', TIMESTAMP '1970-01-01 00:05:00'))", 1200),
+]
+
+
+def test_calls(spark):
+    got = spark.sql("SELECT " + ", ".join(f"{normalise('SELECT ' + e)[7:]} AS v{k}" for k, (e, _) in enumerate(CALLS))).first()
+    assert [(e, v) for (e, _), v in zip(CALLS, got, strict=True)] == CALLS
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("SELECT array_agg(v) AS a, array_agg(v ORDER BY v) AS b, array_agg(v ORDER BY v DESC) FILTER (WHERE v > 1) AS c FROM (VALUES (1), (NULL), (2)) t(v)", [([1, None, 2], [1, 2, None], [2])]),
+        ("SELECT string_agg(v::text, ',' ORDER BY v DESC) AS a, nth_value(v, 2 ORDER BY v) AS b, last_value(v ORDER BY v DESC) AS c, approx_percentile_cont(0.5) WITHIN GROUP (ORDER BY v) AS d FROM (VALUES (1), (3), (2)) t(v)", [("3,2,1", 2, 1, 2)]),
+        ("SELECT DISTINCT ON (k) k, v FROM (VALUES (1, 5), (1, 6), (2, 7)) t(k, v) ORDER BY k, v DESC LIMIT 1", [(1, 6)]), ("SELECT * EXCLUDE (a) FROM (SELECT 1 AS a, 2 AS b)", [(2,)]), ("SELECT v FROM range(2, 4) AS t(v) ORDER BY v FETCH FIRST 1 ROWS ONLY", [(2,)]),
+        ("SELECT y FROM (VALUES (1)) a(x) RIGHT ANTI JOIN (VALUES (1), (2)) b(y) ON x = y", [(2,)]), ("SELECT 1 AS a, 'x' AS b UNION ALL BY NAME SELECT 'y' AS b, 2 AS a", [(1, "x"), (2, "y")]), ("SELECT 1 AS a UNION BY NAME SELECT 1 AS a", [(1,)]),
+        ("SELECT v FROM (VALUES (1), (5)) t(v) WHERE v = ANY (SELECT 5)", [(5,)]), ("SELECT sum(value) AS n FROM generate_series(5, 1, -2)", [(9,)]),
+    ],
+)
+def test_clauses(query, want, s):
+    assert rows(s.sql(query)) == want
+
+
 def test_null_order(spark):
     q = normalise("SELECT v FROM VALUES (1), (NULL), (2) t(v) ORDER BY v")
     assert [r[0] for r in spark.sql(q).collect()] == [1, 2, None]
