@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import re
 import time
@@ -18,6 +19,7 @@ from . import types
 from .catalog.store import TERMINAL, Catalog, Entry, Snapshot
 from .errors import EngineError
 from .functions import spatial
+from .functions.tumble import width_ms
 from .models import runtime
 from .operators import relational
 from .plans import lexer, normalise, statements
@@ -27,6 +29,8 @@ from .streaming import sink, validate
 TASK = re.compile(r"^(?!(?:map|regexp|array|list)_)[A-Za-z]+_(CLASSIFY|DETECT|EXTRACT)$", re.I)
 SECRET_KEY = re.compile(r"credential|password|secret|token", re.I)
 PRODUCT = "Framewright"
+#: Used only where spark.checkpoint.dir is unset (tests on one machine).
+FALLBACK_DIR = "/tmp/framewright-checkpoints"
 
 
 class QueryHandle:
@@ -76,6 +80,7 @@ class Session:
     def __init__(self, spark: SparkSession, catalog: Catalog | None = None, task_models: dict[str, runtime.Model] | None = None):
         self.spark, self.catalog, self.task_models = spark, catalog or Catalog(), task_models or {}
         self.on_error, self.jobs = "null", {}
+        self.sink_format, self._job = "kafka", None
         spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION box_center(b STRUCT<x FLOAT, y FLOAT, w FLOAT, h FLOAT>) RETURN CASE WHEN b IS NULL THEN NULL ELSE named_struct('x', CAST(b.x + CAST(b.w / 2 AS FLOAT) AS FLOAT), 'y', CAST(b.y + CAST(b.h / 2 AS FLOAT) AS FLOAT)) END")
         spark.dataSource.register(live.LiveSource)
 
@@ -107,9 +112,14 @@ class Session:
         sql = self._model_calls(normalise.expand_macros(sql, self._macros(snapshot)), snapshot)
         sql = self._polygons(sql)
         ts = lexer.tokens(sql)
+        tumbles = any(t.upper == "TUMBLE" for t in ts)
         for e in snapshot.all("TABLE"):
             if any(t.kind == "name" and t.value.lower() == e.name for t in ts):
-                self.table(e).createOrReplaceTempView(e.name)
+                df = self.table(e)
+                if df.isStreaming and tumbles:
+                    delay = width_ms(re.sub(r"(?i)\binterval\b|'", "", str(e.body["options"].get("watermark", "2 seconds"))).strip())
+                    df, sql = df.withWatermark("ts", f"{delay} milliseconds"), normalise.stream_tumble(sql)
+                df.createOrReplaceTempView(e.name)
         for e in snapshot.all("FUNCTION"):
             if e.body["language"] == "PYTHON" and any(t.kind == "name" and t.value.lower() == e.name for t in ts):
                 self.spark.udf.register(e.name, self._python_function(e))
@@ -435,33 +445,52 @@ class Session:
         o = e.body["options"]
         options = sink.kafka_options(str(o.get("brokers", o.get("bootstrap_servers", ""))), str(o["topic"]), int(o.get("delivery_timeout_ms", 30_000)), int(o.get("buffer_capacity", 1024)))
         if df.isStreaming:
-            return QueryHandle(rows.writeStream.format("kafka").options(**options).start())
-        rows.write.format("kafka").options(**options).save()
+            place = self._job or self._job_folder(f"insert-{s.name}", s.parts["query"])
+            writer = rows.writeStream.format(self.sink_format).option("checkpointLocation", place)
+            return QueryHandle(writer.options(**options | {k: str(v) for k, v in o.items() if k == "path"}).start())
+        rows.write.format(self.sink_format).options(**options).save()
         return self._result(f"inserted into '{s.name}'")
 
     def _submit_job(self, s: statements.Statement, snapshot: Snapshot) -> QueryHandle:
         """A named continuous INSERT; the catalog keeps it, Spark's checkpoint lets it go on where it stopped."""
         self.catalog.put("JOB", s.name, {"sql": s.parts["query"], "state": "STARTING", "updated_at": time.time(), "error": None})
         try:
+            self._job = self._job_folder(s.name, s.parts["query"])
             self.jobs[s.name] = self.sql(s.parts["query"]).df
             self.catalog.move_job(s.name, "RUNNING")
         except Exception as e:
             self.catalog.move_job(s.name, "FAILED", error=str(e)[:500])
             raise
+        finally:
+            self._job = None
         return self._result(f"submitted job '{s.name}'")
 
+    def _job_folder(self, name: str, query: str) -> str:
+        """Where a continuous INSERT keeps its checkpoint: the shared folder, the same for the same name and query."""
+        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+        return f"{base.rstrip('/')}/jobs/{name}-{hashlib.md5(query.encode()).hexdigest()[:16]}"
+
+    def _follow_jobs(self) -> Snapshot:
+        """The catalog after jobs whose streaming query has ended are marked so."""
+        for name, q in list(self.jobs.items()):
+            if hasattr(q, "isActive") and not q.isActive:
+                error = q.exception()
+                self.catalog.move_job(name, "FAILED" if error else "STOPPED", error=str(error)[:500] if error else None)
+                self.jobs.pop(name)
+        return self.catalog.snapshot()
+
     def _stop_job(self, s: statements.Statement, snapshot: Snapshot) -> QueryHandle:
-        snapshot.get("JOB", s.name)
+        self._follow_jobs().get("JOB", s.name)
         self.catalog.move_job(s.name, "STOPPED")
         if hasattr(q := self.jobs.pop(s.name, None), "stop"):
             q.stop()
         return self._result(f"stopped job '{s.name}'")
 
     def _show_jobs(self, _: statements.Statement, snapshot: Snapshot) -> QueryHandle:
-        return self._rows([(e.name, e.body["state"], e.body["error"]) for e in snapshot.all("JOB")], "name:s state:s error?:s")
+        return self._rows([(e.name, e.body["state"], e.body["error"]) for e in self._follow_jobs().all("JOB")], "name:s state:s error?:s")
 
     def _describe_job(self, s: statements.Statement, snapshot: Snapshot) -> QueryHandle:
-        e = snapshot.get("JOB", s.name)
+        e = self._follow_jobs().get("JOB", s.name)
         return self._rows([("name", e.name), ("state", e.body["state"]), ("sql", e.body["sql"]), ("terminal", str(e.body["state"] in TERMINAL).lower())], "property:s value:s")
 
 

@@ -177,3 +177,17 @@ def test_jobs():
     c = Catalog()
     c.put("JOB", "j", {"state": "STARTING", "sql": "x", "error": None})
     assert c.move_job("j", "RUNNING")["state"] == "RUNNING" and c.move_job("j", "STOPPED")["state"] == "STOPPED" and c.move_job("j", "RUNNING")["state"] == "STOPPED"
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ("SELECT TUMBLE(ts, INTERVAL '5' SECOND) AS w, k, count(*) FROM t GROUP BY 1, 2", "SELECT window(ts, '5000 milliseconds').start AS w, k, count(*) FROM t GROUP BY window(ts, '5000 milliseconds'), k "),
+        ("SELECT k, TUMBLE(ts, INTERVAL '5' SECOND) AS w FROM t GROUP BY k, w HAVING count(*) > 1", "SELECT k, window(ts, '5000 milliseconds').start AS w FROM t GROUP BY k, window(ts, '5000 milliseconds') HAVING count(*) > 1"),
+        ("SELECT count(*) FROM t GROUP BY TUMBLE(ts, INTERVAL '1' MINUTE)", "SELECT count(*) FROM t GROUP BY window(ts, '60000 milliseconds') "), ("SELECT 1 FROM t", "SELECT 1 FROM t"),
+    ],
+)
+def test_stream_tumble(query, want):
+    from framewright.plans.normalise import stream_tumble
+
+    assert stream_tumble(query) == want

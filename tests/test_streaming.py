@@ -90,3 +90,52 @@ def test_ring_drops_the_oldest():
     for k in range(5):
         r.push((k * 100,))
     assert r.dropped == 2 and r.epoch() == [(200,), (300,)] and r.epoch() == [(400,)]
+
+
+def poll(found, seconds=40):
+    """What found gives once it gives something."""
+    import time
+
+    end = time.time() + seconds
+    while not (got := found()) and time.time() < end:
+        time.sleep(0.5)
+    return got
+
+
+@pytest.mark.parametrize(("query", "columns", "want"), [("SELECT frame_id, source FROM cam WHERE frame_id < 3", "frame_id BIGINT, source STRING", {(0, "replay"), (1, "replay"), (2, "replay")}), ("SELECT TUMBLE(ts, INTERVAL '2' SECOND) AS w, count(*) AS n FROM cam GROUP BY 1", "w TIMESTAMP, n BIGINT", {("1970-01-01T00:00:00.000", 20), ("1970-01-01T00:00:02.000", 20)})])
+def test_jobs_run_and_stop(query, columns, want, spark, tmp_path):
+    import glob
+    import json
+
+    from framewright import session
+
+    s = session.connect(spark)
+    s.sink_format = "text"
+    s.run_script(f"CREATE TABLE cam USING RTSP OPTIONS (url = 'rtsp://replay', rows = 200, rowsPerBatch = 50, fps = 10); CREATE TABLE out ({columns}) USING KAFKA OPTIONS (brokers = 'b:9092', topic = 't', path = '{tmp_path}/out')")
+    s._job_folder = lambda name, q: str(tmp_path / name)
+    s.sql(f"SUBMIT JOB j AS INSERT INTO out {query}")
+    read = lambda: {tuple(json.loads(x).values()) for f in glob.glob(f"{tmp_path}/out/part-*") for x in open(f)}
+    assert poll(lambda: want <= read()) and s.sql("SHOW JOBS").collect().to_pylist() == [{"name": "j", "state": "RUNNING", "error": None}]
+    q = s.jobs["j"]
+    s.sql("STOP JOB j")
+    assert not q.isActive and s.sql("SHOW JOBS").collect().to_pylist()[0]["state"] == "STOPPED"
+
+
+def test_exact_by_state(spark, tmp_path):
+    """Late rows of one key don't move another key's watermark."""
+    rows = [[(0, "a"), (1500, "a"), (100, "b")], [(500, "a"), (900, "b"), (3100, "a")], [(4000, "b"), (5000, "a")]]
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, "ms long, k string").coalesce(1).write.json(str(tmp_path / "in" / f"d{k}"))
+        spark.read.json(str(tmp_path / "in" / f"d{k}"))
+    files = sorted((tmp_path / "in").glob("d*/part-*.json"))
+    (tmp_path / "src").mkdir()
+    stream = spark.readStream.schema("ms long, k string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "src")).select(F.timestamp_millis("ms").alias("ts"), "k")
+    q = windows.exact_by_state(stream, "ts", "1 second", "k", 0).writeStream.format("memory").queryName("exact_state").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for k, f in enumerate(files):
+            (tmp_path / "src" / f"{k}.json").write_bytes(f.read_bytes())
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(r.k, int(r.window_start.timestamp()), r.n) for r in spark.table("exact_state").collect()}
+    assert got == {("a", 0, 1), ("a", 1, 1), ("b", 0, 2), ("a", 3, 1)}
