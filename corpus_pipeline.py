@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import decontaminate, packing, secrets, simhash, toxicity
+from framewright.llm import decontaminate, packing, secrets, simhash, tokens, toxicity
 from framewright.llm.common import scratch
 
 ORACLE_SQL = None
@@ -36,8 +36,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in length buckets and batches."""
-    return packing.pack(docs)
+    """The documents' pieces, each with its text, in length buckets and batches."""
+    return packing.pack(docs, vocabulary=tokens.VOCABULARY)
 
 
 STAGES = [

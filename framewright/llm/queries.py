@@ -23,7 +23,7 @@ QUERIES: dict[str, Query] = {
     "op5_warc": lambda s, d: warc.round_trip(_table(s, d, "pages")),
     "op6_document_fingerprints": lambda s, d: minhash.edited_fingerprints(_table(s, d, "documents")),
     "op7_secret_scans": lambda s, d: secrets.scan(_table(s, d, "documents"), secrets.train(s)),
-    "op8_packing": lambda s, d: packing.pack(_table(s, d, "documents")),
+    "op8_packing": lambda s, d: packing.pack(_table(s, d, "documents"), vocabulary=tokens.VOCABULARY),
     "op9_html_extraction": lambda s, d: html.extract(_table(s, d, "pages")),
     "op10_chat_formatting": lambda s, d: chat.preferences(_table(s, d, "conversations")),
 }
