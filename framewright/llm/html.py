@@ -4,7 +4,8 @@ A page becomes lines, one per block, with script, style, comments and markup str
 each line that stands in page furniture (navigation, header, footer, aside, form, advert, notice,
 reader comments, by element or by class and id names) or in links counted as no text. Over the
 lines, text lengths are summed in a sliding window; a surge point starts a run of text, a dive point
-ends it, and the run with most text is kept with those that belong to the same container.
+ends it, and the run with most text is kept with those that belong to the same container. Article and main
+elements are a hint: runs inside them go before other runs, and a kept run is completed to its element.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ WINDOW, SURGE = 3, 40
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN = frozenset("head script style noscript template title svg math iframe object embed canvas audio video map select option button textarea".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog fieldset".split())
+#: Elements whose runs belong together.
+BOXES = frozenset("article body div main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the left kind is closed by the start of one of the right kind.
 CLOSED_BY = {
@@ -38,6 +41,9 @@ FURNITURE_NAMES = frozenset(
     "privacy promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe tagcloud toc toolbar widget "
     "complementary contentinfo".split()
 )
+#: Names of readers' comments, which are furniture however long they are, and openings of names that only describe a layout.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
+LAYOUT = ("has-", "no-", "with-", "without-", "is-", "has_", "no_", "with_", "without_", "is_")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -46,26 +52,35 @@ _WORDS = re.compile(r"[a-z0-9]+")
 
 
 def is_furniture(tag: str, attributes: str) -> bool:
-    """Whether an element is page furniture by its kind, or by a name in class, id or role, or hidden."""
+    """Whether an element is page furniture by its kind, or hidden."""
     if tag in FURNITURE:
         return True
-    if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
-    if _HIDE.search(attributes):
-        return True
-    for m in _NAMED.finditer(attributes):
+    return bool(attributes.strip() and tag not in ("html", "body", "article", "main") and _HIDE.search(attributes))
+
+
+def furniture_words(attributes: str) -> set[str]:
+    """Names of page furniture in class, id or role; has-sidebar, no-sidebar and the like only describe a layout."""
+    out: set[str] = set()
+    for m in _NAMED.finditer(attributes) if attributes.strip() else ():
         for name in (m[1] or m[2] or m[3] or "").lower().split():
-            if name in FURNITURE_NAMES or not FURNITURE_NAMES.isdisjoint(_WORDS.findall(name)):
-                return True
-    return False
+            if not name.startswith(LAYOUT):
+                out |= FURNITURE_NAMES.intersection([name, *_WORDS.findall(name)])
+    return out
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """Lines of a page: (text, characters of it inside links, number of the article or main element it stands in, 0 outside)."""
-    out: list[tuple[str, int, int]] = []
+def lines(page: str) -> list[tuple[str, int, int, int]]:
+    """Lines of a page: (text, characters of it inside links, number of the outermost article or main element it stands in, 0 outside,
+    number of the innermost element of BOXES around it, 0 outside).
+
+    An element that only its names mark as furniture still shows if no article or main stands outside such elements and
+    it holds most of the page's text, or an article or main with no less text than all that stands outside.
+    """
+    out: list[tuple[str, int, int, int, tuple[int, ...]]] = []
+    named: list[bool] = []  # elements marked by their names: whether by names of readers' comments
+    marks: tuple[int, ...] = ()
     pieces: list[str] = []
-    linked = articles = article = 0
-    stack: list[tuple[str, bool, int]] = []  # element, out of sight, article around it
+    linked = articles = article = boxes = box = 0
+    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # element, out of sight, article, box and marked elements around it
     dark, links, at, end = 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -73,7 +88,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                out.append((text, min(linked, len(text)), article))
+                out.append((text, min(linked, len(text)), article, box, marks))
             pieces.clear()
         linked = 0
 
@@ -85,14 +100,14 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 linked += len(s)
 
     def close(k: int) -> None:
-        nonlocal dark, links, article
+        nonlocal dark, links, article, box, marks
         while len(stack) > k:
-            tag, hid, around = stack.pop()
+            tag, hid, *before = stack.pop()
             if tag in BLOCK:
                 flush()
             dark -= hid
             links -= tag == "a"
-            article = around
+            article, box, marks = before
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -137,13 +152,36 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         hid = tag in HIDDEN or is_furniture(tag, attributes) and not (tag == "header" and article)
         if tag == "a":
             links += 1
-        stack.append((tag, hid, article))
+        stack.append((tag, hid, article, box, marks))
         dark += hid
-        if tag in ("article", "main") and not dark and not (tag == "main" and article):
+        if not dark and tag not in ("html", "body", "main") and (tag != "article" or article) and not (tag == "header" and article) and (words := furniture_words(attributes)):
+            marks = (*marks, len(named))
+            named.append(not words.isdisjoint(COMMENT_NAMES))
+        if tag in BOXES:
+            boxes += 1
+            box = boxes
+        if tag in ("article", "main") and not dark and not article:
             articles += 1
             article = articles
     flush()
-    return out
+    return [x[:4] for x in _shown(out, named)]
+
+
+def _shown(found: list[tuple[str, int, int, int, tuple[int, ...]]], named: list[bool]) -> list[tuple[str, int, int, int, tuple[int, ...]]]:
+    """The lines outside elements marked by their names, but for those elements that hold the page's main text."""
+    if not named:
+        return found
+    free = [x for x in found if not x[4]]
+    if any(x[2] for x in free):
+        return free
+    total, outside = sum(len(t) - n for t, n, *_ in found), sum(len(t) - n for t, n, *_ in free)
+    text, stated = [0] * len(named), [0] * len(named)
+    for t, n, a, _, marks in found:
+        for m in marks:
+            text[m] += len(t) - n
+            stated[m] += (len(t) - n) * (a > 0)
+    shown = {m for m, comments in enumerate(named) if not comments and (2 * text[m] > total or 0 < stated[m] >= outside)}
+    return [x for x in found if shown.issuperset(x[4])]
 
 
 def runs(lengths: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
@@ -173,24 +211,30 @@ def runs(lengths: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """The main text of a page; '' for null, empty or text-free pages.
 
-    Lines inside an article or main element are the page's own statement of its main text: where there are any,
-    the lines outside the one with most text count as no text, any text surges, and all runs are kept. Else
-    lines of mostly links count as no text, SURGE characters surge, and the run with most text is kept.
+    Lines of mostly links count as no text, and runs surge at SURGE characters, on every page. Runs that reach into
+    article or main elements are all kept, each completed to its elements; where there are none, the run with most
+    text, and those inside the same elements. Kept runs keep all their lines. Where nothing surges, the element
+    with most text is kept, or else the page.
     """
     all_lines = lines(page or "")
-    weight: dict[int, int] = {}
-    for t, linked, a in all_lines:
-        if a:
-            weight[a] = weight.get(a, 0) + len(t) - linked
-    if weight and max(weight.values()) > 0:
-        best = max(weight, key=lambda a: (weight[a], -a))
-        lengths = [len(t) if a == best else 0 for t, _, a in all_lines]
-        found = runs(lengths, 1)
+    lengths = [0 if 2 * linked > len(t) else len(t) for t, linked, *_ in all_lines]
+    found = runs(lengths)
+    stated = {a for start, stop in found for _, _, a, _ in all_lines[start:stop] if a}
+    if stated:
+        keep = {k for start, stop in found if any(x[2] for x in all_lines[start:stop]) for k in range(start, stop)}
+        keep |= {k for k, (_, _, a, _) in enumerate(all_lines) if a in stated}
+    elif found:
+        around = [{x[3] for x in all_lines[start:stop]} for start, stop in found]
+        most = max(range(len(found)), key=lambda r: (sum(lengths[slice(*found[r])]), -r))
+        keep = {k for r, at in enumerate(around) if not at.isdisjoint(around[most]) for k in range(*found[r])}
     else:
-        lengths = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in all_lines]
-        found = runs(lengths) or ([(0, len(lengths))] if any(lengths) else [])
-        found = [max(found, key=lambda r: (sum(lengths[r[0] : r[1]]), -r[0]))] if found else []
-    return " ".join(all_lines[k][0] for start, stop in found for k in range(start, stop) if lengths[k])
+        weight: dict[int, int] = {}
+        for t, linked, a, _ in all_lines:
+            if a:
+                weight[a] = weight.get(a, 0) + len(t) - linked
+        best = max(weight, key=lambda a: (weight[a], -a)) if weight and max(weight.values()) > 0 else 0
+        keep = {k for k, (_, _, a, _) in enumerate(all_lines) if (a == best if best else lengths[k])}
+    return " ".join(all_lines[k][0] for k in sorted(keep))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 """Each operator does its whole job: one test for each place where it once did less."""
 
+import re
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 
-from framewright.llm import packing, tokens
+from framewright.llm import html, packing, tokens
 
 
 @pytest.mark.parametrize("max_length", [2, 64])
@@ -20,3 +24,10 @@ def test_packing_keeps_the_text_and_counts_bpe_tokens(max_length, spark):
     for r in rows:
         batches[r.bucket, r.batch] = batches.get((r.bucket, r.batch), 0) + r.padded_length
     assert max(batches.values()) <= 128
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="no test data")
+def test_surge_and_dive_find_the_text_of_pages_without_articles():
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
+    same = sum(html.main_text(re.sub(r"(</?)article", r"\1div", p)) == html.main_text(p) for p in pages)
+    assert same >= 0.99 * len(pages), same
