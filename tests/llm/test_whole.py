@@ -26,6 +26,27 @@ def test_packing_keeps_the_text_and_counts_bpe_tokens(max_length, spark):
     assert max(batches.values()) <= 128
 
 
+LINE, OTHER = "A long enough paragraph of text to surge over the line.", "Another long enough paragraph that says something else."
+REFERENCES = "<ul>" + "<li><a href=x>A reference</a></li>" * 4 + "</ul>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{LINE}</p></article><article><p>{OTHER}</p></article>", f"{LINE} {OTHER}"),
+        (f"<main><h1>Title</h1><p>Lead.</p><article><p>{LINE}</p></article></main>", f"Title Lead. {LINE}"),
+        (f"<div><p>{LINE}</p>{REFERENCES}<p>{OTHER} And on.</p></div>", f"{LINE} {OTHER} And on."),
+        (f"<div><p>{LINE}</p><p><a href=x>A link alone in its line</a></p><p>{OTHER}</p></div>", f"{LINE} A link alone in its line {OTHER}"),
+        (f"<div class='layout has-sidebar'><article><p>{LINE}</p></article><div class=sidebar>{OTHER}</div></div>", LINE),
+        (f"<div id=page class='no-sidebar'><p>{LINE}</p></div>", LINE), (f"<div class='layout sidebar-right'><article><p>{LINE}</p></article></div><p>Short</p>", f"{LINE} Short"),
+        (f"<div><p>{LINE}</p></div><div class=comments><p>{OTHER * 9}</p></div>", LINE),
+        (f"<p>{OTHER}</p><article><p>{LINE}</p></article>", f"{OTHER} {LINE}"),
+    ],
+)
+def test_runs_that_are_kept(page, want):
+    assert html.main_text(page) == want
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="no test data")
 def test_surge_and_dive_find_the_text_of_pages_without_articles():
     pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
