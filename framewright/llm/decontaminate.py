@@ -4,13 +4,15 @@ The CGK walk reads a window with a pointer that stays or steps on by a random bi
 the step and the character read, so texts at a small edit distance give outputs at a small Hamming
 distance. Each repetition has its own random walk and samples positions of its output, some in
 the walk's first steps and LATE ones over the whole window, as long as the item's length class.
-Windows open at the words of a document; an item is entered at each of its words, so an edit
+Windows open at the words of a document, and inside long runs without a space; an item is entered at each of its words, so an edit
 near one opening is met from another. Only windows whose samples so far occur in the benchmark walk on.
 What agrees in all samples is verified by the exact edit distance of the item to the text around.
+Short items are not sampled: where one of their pieces occurs they are verified, so none is missed.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +24,18 @@ from .common import slices
 
 #: Edit similarity (1 - distance / item length) from which a passage counts as the item.
 SIMILARITY = 0.8
-REPETITIONS = 10
+REPETITIONS = 20
 #: Samples in the walk's first steps, in two spans (samples, end of the span), and samples over the whole window.
 #: After each span only windows whose samples so far occur in the benchmark walk on.
 SPANS, LATE = ((6, 16), (4, 40)), 3
-#: A repetition reads this share of the windows, chosen by the three characters at their opening.
-SHARE = 0.5
 #: Lengths of item-sized windows; an entry belongs to the longest class that it fills.
 WINDOWS = (32, 64, 120)
-#: Items of fewer normalised characters are looked up literally between word ends.
-SHORT_ITEM = WINDOWS[0]
+#: Items of fewer normalised characters are cut in one piece more than edits allowed: a match holds one of the pieces unchanged.
+SHORT_ITEM = WINDOWS[1]
+#: Items of fewer normalised characters count only as whole words, where their script puts spaces between words.
+WHOLE_WORDS = WINDOWS[0]
+#: Runs of more characters without a space open windows inside too, at positions chosen by two characters.
+SPACELESS = 24
 #: A block of the benchmark, of which one pass over the documents takes care.
 BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4_000_000
 #: Characters of documents that are walked at once.
@@ -79,15 +83,34 @@ def edit_distance(item: str, region: str) -> tuple[int, int]:
     return best, end
 
 
+def openings(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where windows open in the first n characters: at the start, after spaces, and at chosen positions of long runs without a space."""
+    after = np.concatenate([[0], np.nonzero(codes[:n] == _codes(" ", 0)[0])[0] + 1]).astype(np.int64)
+    size = np.diff(np.append(after, n + 1))
+    inside = np.nonzero(np.repeat(size > SPACELESS, size)[:n])[0]
+    chosen = inside[((codes[inside] + 7 * codes[inside + 1]) & 3) == 0]
+    return np.union1d(after, chosen) if len(chosen) else after
+
+
+_OTHER = re.compile(r"[\W_]")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
+def as_words(item: str) -> str:
+    """The item with a space for each mark, and at each end that must be a word end."""
+    return (" " * (not _UNSPACED.match(item[0])) + _OTHER.sub(" ", item) + " " * (not _UNSPACED.match(item[-1]))) if item else item
+
+
 class Index:
     """Samples of one block of benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int = 42):
+    def __init__(self, items: list[tuple[int, str]], seed: int = 42, similarity: float = SIMILARITY):
+        self.similarity = similarity
         rng = np.random.default_rng(seed)
         self.items = [(i, n) for i, t in items if (n := normalise(t))]
         self.short = [k for k, (_, n) in enumerate(self.items) if len(n) < SHORT_ITEM]
         steps, first = 2 * WINDOWS[-1], SPANS[-1][1]
-        self.walks, self.picks, self.late, self.shares = [], [], [], []
+        self.walks, self.picks, self.late = [], [], []
         for _ in range(REPETITIONS):
             self.walks.append(rng.integers(0, 2, (steps, 64), dtype=np.uint8))
             begin, picks = 0, set()
@@ -96,12 +119,11 @@ class Index:
                 begin = end
             self.picks.append(picks)
             self.late.append([np.sort(rng.choice(np.arange(first, 2 * w), LATE, replace=False)) for w in WINDOWS])
-            self.shares.append(rng.random(1 << 12) < SHARE)
         entries, texts, at = [], [], 0
         for k, (_, n) in enumerate(self.items):
             if len(n) < SHORT_ITEM:
                 continue
-            for o in [0, *(p + 1 for p, ch in enumerate(n) if ch == " ")]:
+            for o in openings(_codes(n, 2), len(n)).tolist():
                 left = len(n) - o
                 if left >= WINDOWS[0]:
                     entries.append((k, o, at + o, max(c for c, w in enumerate(WINDOWS) if w <= left)))
@@ -110,10 +132,11 @@ class Index:
         e = np.array(entries, np.int64).reshape(-1, 4)
         self.item, self.offset, starts, kind = e[:, 0], e[:, 1], e[:, 2], e[:, 3]
         codes = _codes(" ".join(texts), steps + 1)
+        self.grams = [self._pieces(q) for q in (1, 2, 4)]
         self.bitmaps, self.tables = [], []
         for r in range(REPETITIONS):
-            live, at, key, bitmaps = self._opened(r, codes, starts), None, None, []
-            at, key, begin = starts[live].astype(np.intp), np.zeros(len(live), np.int64), 0
+            bitmaps = []
+            at, key, begin = starts.astype(np.intp), np.zeros(len(starts), np.int64), 0
             for _, end in SPANS:
                 key, at = self._walk(r, codes, at, key, begin, end)
                 bits = np.zeros(1 << _BITMAP, bool)
@@ -123,10 +146,10 @@ class Index:
             late = self._late(r, codes, at)
             tables = []
             for c in range(len(WINDOWS)):
-                own = np.nonzero(kind[live] == c)[0]
+                own = np.nonzero(kind == c)[0]
                 full = self._join(key[own], late[c][own])
                 order = np.argsort(full, kind="stable")
-                tables.append((full[order], live[own][order]))
+                tables.append((full[order], own[order]))
             self.bitmaps.append(bitmaps)
             self.tables.append(tables)
 
@@ -146,10 +169,41 @@ class Index:
     def _join(early: np.ndarray, late: np.ndarray) -> np.ndarray:
         return early * _ODD**3 + late
 
-    def _opened(self, r: int, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Positions in starts of the windows that this repetition reads."""
-        three = codes[starts].astype(np.int32) * 29 + codes[starts + 1].astype(np.int32) * 841 + codes[starts + 2]
-        return np.nonzero(self.shares[r][three & 4095])[0]
+    def _pieces(self, q: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """q, and sorted openings of q characters of the short items' pieces with their items and offsets; each piece has one q at most its length."""
+        rows = []
+        for k in self.short:
+            n = self.items[k][1]
+            parts = int((1 - self.similarity) * len(n) + 1e-9) + 1
+            least = len(n) // parts
+            if (4 if least >= 4 else 2 if least >= 2 else 1) == q:
+                codes = _codes(n, 0)
+                rows += [(self._gram(codes[o : o + q], q)[0], k, o) for o in sorted({p * len(n) // parts for p in range(parts)})]
+        e = np.array(sorted(rows), np.int64).reshape(-1, 3)
+        return q, e[:, 0], e[:, 1], e[:, 2]
+
+    @staticmethod
+    def _gram(codes: np.ndarray, q: int) -> np.ndarray:
+        n = len(codes) - q + 1
+        out = np.zeros(max(n, 0), np.int32)
+        for j in range(q if n > 0 else 0):
+            out = out * 64 + codes[j : j + n]
+        return out
+
+    def short_candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(where a piece stands, its item, its offset there) for each of its pieces that occurs; all texts, in runs."""
+        for q, grams, items, offsets in self.grams:
+            if not len(grams):
+                continue
+            known = np.zeros(64**q, bool)
+            known[grams] = True
+            for i in range(0, len(codes), CHUNK):
+                seen = self._gram(codes[i : i + CHUNK + q - 1], q)
+                at = np.nonzero(known[seen])[0]
+                lo, hi = np.searchsorted(grams, seen[at]), np.searchsorted(grams, seen[at], "right")
+                n = hi - lo
+                e = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                yield np.repeat(at + i, n), items[e], offsets[e]
 
     def _walk(self, r: int, codes: np.ndarray, at: np.ndarray, key: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
         walk, picks = self.walks[r], self.picks[r]
@@ -178,7 +232,7 @@ class Index:
         """Windows (as positions in starts) and entries that agree in all samples of some repetition."""
         got_w, got_e = [], []
         for r, bitmaps in enumerate(self.open()):
-            live = self._opened(r, codes, starts)
+            live = np.arange(len(starts))
             at, key, begin = starts[live].astype(np.intp), np.zeros(len(live), np.int64), 0
             for (_, end), bits in zip(SPANS, bitmaps, strict=True):
                 key, at = self._walk(r, codes, at, key, begin, end)
@@ -202,19 +256,13 @@ class Index:
         """For each text, item position -> (least distance found, where the passage ends in the normalised text)."""
         norm = [normalise(t) for t in texts]
         found: list[dict[int, tuple[int, int]]] = [{} for _ in norm]
-        for d, n in enumerate(norm):
-            for k in self.short:
-                at = f" {n} ".find(f" {self.items[k][1]} ")
-                if at >= 0:
-                    found[d][k] = (0, at + len(self.items[k][1]))
-        if not len(self.item):
+        if not len(self.item) and not self.short:
             return found
         lengths = np.array([len(n) for n in norm], np.int64)
         bases = np.cumsum(lengths + 1) - lengths - 1
         joined = " ".join(norm)
         codes = _codes(joined, 2 * WINDOWS[-1] + 1)
-        space = np.nonzero(codes[: len(joined)] == _codes(" ", 0)[0])[0]
-        opens = np.concatenate([[0], space + 1]).astype(np.int64)
+        opens = openings(codes, len(joined)) if len(self.item) else np.empty(0, np.int64)
         pairs: dict[tuple[int, int, int], None] = {}
         for i in range(0, len(opens), CHUNK // 4):
             part = opens[i : i + CHUNK // 4]
@@ -226,13 +274,23 @@ class Index:
             begin = at - bases[doc] - self.offset[e]
             for key in zip(doc.tolist(), self.item[e].tolist(), (begin // 16).tolist(), strict=True):
                 pairs[key] = None
+        for at, item, offset in self.short_candidates(codes[: len(joined)]):
+            doc = np.searchsorted(bases, at, "right") - 1
+            for key in zip(doc.tolist(), item.tolist(), ((at - bases[doc] - offset) // 16).tolist(), strict=True):
+                pairs[key] = None
         for d, k, b in pairs:
             item = self.items[k][1]
             most = int((1 - similarity) * len(item) + 1e-9)
             if found[d].get(k, (1,))[0] == 0:
                 continue
             lo = max(0, b * 16 - most)
-            best, end = edit_distance(item, norm[d][lo : b * 16 + 16 + len(item) + 2 * most])
+            region = norm[d][lo : b * 16 + 16 + len(item) + 2 * most]
+            if len(item) < WHOLE_WORDS:
+                lo, region = max(0, lo - 1), norm[d][max(0, lo - 1) : b * 16 + 17 + len(item) + 2 * most]
+                front, tail = " " * (lo == 0), " " * (lo + len(region) == len(norm[d]))
+                if edit_distance(as_words(item), front + _OTHER.sub(" ", region) + tail)[0] > most:
+                    continue
+            best, end = edit_distance(item, region)
             if best <= most and best < found[d].get(k, (most + 1,))[0]:
                 found[d][k] = (best, lo + end)
         return found
@@ -263,7 +321,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     """
     out = None
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block))  # BLOCK_ITEMS and BLOCK_CHARS bound it
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, similarity=similarity))  # BLOCK_ITEMS and BLOCK_CHARS bound it
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -286,7 +344,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = S
     """The rows of docs, all columns, whose text contains no benchmark item. No shuffle: rows are filtered in place."""
     at = docs.columns.index("text")
     for block in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block))
+        shared = docs.sparkSession.sparkContext.broadcast(Index(block, similarity=similarity))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in (x for batch in batches for x in slices(batch, at)):

@@ -1,12 +1,13 @@
 """Each operator does its whole job: one test for each place where it once did less."""
 
+import random
 import re
 from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
 
-from framewright.llm import html, packing, tokens
+from framewright.llm import decontaminate, html, packing, tokens
 
 
 @pytest.mark.parametrize("max_length", [2, 64])
@@ -52,3 +53,21 @@ def test_surge_and_dive_find_the_text_of_pages_without_articles():
     pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
     same = sum(html.main_text(re.sub(r"(</?)article", r"\1div", p)) == html.main_text(p) for p in pages)
     assert same >= 0.99 * len(pages), same
+
+
+def edited(text, rate, r):
+    s = list(text)
+    for _ in range(int(rate * len(s) + 1e-9)):
+        k, o = r.randrange(len(s)), r.random()
+        s[k : k + (o > 0.33)] = r.choice("abcdefghijklmnop ") if o < 0.67 else ""
+    return "".join(s)
+
+
+@pytest.mark.parametrize(("length", "least"), [(36, 1), (60, 1), (90, 0.7), (230, 0.95)])
+def test_items_with_a_fifth_edited_are_found(length, least):
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    items = [" ".join(r.choice(words) for _ in range(80))[:length].strip() for _ in range(60)]
+    texts = ["some words before " + edited(t, 0.2, r) + " and some after" for t in items]
+    found = decontaminate.Index(list(enumerate(items))).matches(texts, 0.8)
+    assert sum(k in f for k, f in enumerate(found)) >= least * len(items)
