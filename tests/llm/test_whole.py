@@ -71,3 +71,22 @@ def test_items_with_a_fifth_edited_are_found(length, least):
     texts = ["some words before " + edited(t, 0.2, r) + " and some after" for t in items]
     found = decontaminate.Index(list(enumerate(items))).matches(texts, 0.8)
     assert sum(k in f for k, f in enumerate(found)) >= least * len(items)
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "hit"),
+    [
+        ("short one", 'he said "short one", then left', True), ("short one", "a (short one). x", True), ("short one", "a shorx one here", True), ("one", "someone else", False), ("one", "that one.", True),
+        ("日本の首都は東京です", "彼は日本の首都は東京ですと言った", True), ("日本の首都は東京です", "彼は犬が好きだと言った", False), ("a", "a", True), ("ab cd", "x abxcd y", True),
+    ],
+)
+def test_short_items_are_held_by_edit_distance_between_word_ends(item, text, hit):
+    assert bool(decontaminate.Index([(1, item)]).matches(["", text], 0.8)[1]) == hit
+
+
+def test_items_without_spaces_are_found_in_running_text():
+    r = random.Random(8)
+    items = ["".join(chr(0x4E00 + r.randrange(2000)) for _ in range(100)) for _ in range(40)]
+    other = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(333))
+    found = decontaminate.Index(list(enumerate(items))).matches([other + t + other for t in items], 0.8)
+    assert all(f.get(k, (1,))[0] == 0 for k, f in enumerate(found))
