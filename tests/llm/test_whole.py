@@ -4,6 +4,7 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -63,14 +64,39 @@ def edited(text, rate, r):
     return "".join(s)
 
 
-@pytest.mark.parametrize(("length", "least"), [(36, 1), (60, 1), (90, 0.7), (230, 0.95)])
-def test_items_with_a_fifth_edited_are_found(length, least):
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.18, 0.2])
+@pytest.mark.parametrize("length", [10, 20, 31, 36, 64, 90, 230])
+def test_items_with_edited_characters_are_found(length, rate):
+    """Up to the stated similarity, in a language of few syllables."""
     r = random.Random(3)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(300)]
-    items = [" ".join(r.choice(words) for _ in range(80))[:length].strip() for _ in range(60)]
-    texts = ["some words before " + edited(t, 0.2, r) + " and some after" for t in items]
-    found = decontaminate.Index(list(enumerate(items))).matches(texts, 0.8)
-    assert sum(k in f for k, f in enumerate(found)) >= least * len(items)
+    items = [" ".join(r.choice(words) for _ in range(80))[:length].strip() for _ in range(100)]
+    texts = ["some words before " + edited(t, rate, r) + " and some after" for t in items]
+    index = decontaminate.Index(list(enumerate(items)))
+    found = index.matches(texts, 0.8)
+    assert sum(any(k in index.items[i][0] for i in f) for k, f in enumerate(found)) >= 0.93 * len(items)
+
+
+def test_items_whose_blanks_are_gone_are_found():
+    r = random.Random(3)
+    items = [" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9))) for _ in range(30)) for _ in range(100)]
+    found = decontaminate.Index(list(enumerate(items))).matches(["before it " + t.replace(" ", "") + " after it" for t in items], 0.8)
+    assert all(k in f for k, f in enumerate(found))
+
+
+def test_bounds_of_many_places_equal_the_distance():
+    r = random.Random(5)
+    items = ["".join(r.choice("abcd") for _ in range(r.randint(1, 64))) for _ in range(50)]
+    text = "".join(r.choice("abcd") for _ in range(400))
+    codes, begin, steps = decontaminate._codes(decontaminate._points(text)), np.array([r.randrange(-20, 400) for _ in items]), 70
+    got = decontaminate.Pieces([decontaminate._codes(decontaminate._points(t)) for t in items]).least(codes, np.arange(50), begin, steps)
+    assert got.tolist() == [decontaminate.edit_distance(t, text[max(0, b) : max(0, b + steps)])[0] for t, b in zip(items, begin.tolist(), strict=True)]
+
+
+def test_items_with_one_text_are_reported_each(spark):
+    item = "a passage of the benchmark that is long enough to be sampled by walks, twice in the table"
+    docs, bench = spark.createDataFrame([(1, "so " + item + " it is")], "doc_id long, text string"), spark.createDataFrame([(7, item), (8, item), (8, item)], "item_id long, text string")
+    assert sorted(r.item_id for r in decontaminate.matches(docs, bench).collect()) == [7, 8, 8]
 
 
 @pytest.mark.parametrize(
