@@ -44,7 +44,8 @@ FURNITURE_NAMES = frozenset(
 #: Names of readers' comments, which are furniture however long they are, and openings of names that only describe a layout.
 COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
 LAYOUT = ("has-", "no-", "with-", "without-", "is-", "has_", "no_", "with_", "without_", "is_")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote that no quote before white space, / or > closes is a character like any other: it doesn't swallow the text after it.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[\"'])*+)(?:>|\Z)", re.S)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDE = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
@@ -73,14 +74,17 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
     number of the innermost element of BOXES around it, 0 outside).
 
     An element that only its names mark as furniture still shows if no article or main stands outside such elements and
-    it holds most of the page's text, or an article or main with no less text than all that stands outside.
+    it holds most of the page's text, or an article or main with no less text than all that stands outside. The time is
+    linear in the page's length.
     """
-    out: list[tuple[str, int, int, int, tuple[int, ...]]] = []
-    named: list[bool] = []  # elements marked by their names: whether by names of readers' comments
-    marks: tuple[int, ...] = ()
+    out: list[tuple[str, int, int, int, int]] = []
+    named: list[tuple[int, bool]] = []  # elements marked by their names: the marked one around (-1: none), whether by names of readers' comments
+    mark = -1
     pieces: list[str] = []
     linked = articles = article = boxes = box = 0
-    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # element, out of sight, article, box and marked elements around it
+    stack: list[tuple[str, bool, int, int, int]] = []  # element, out of sight, article, box and marked element around it
+    places: dict[str, list[int]] = {}  # where elements of a kind stand in the stack
+    block_at: list[int] = [-1]  # where elements of BLOCK do
     dark, links, at, end = 0, 0, 0, len(page)
 
     def flush() -> None:
@@ -88,7 +92,7 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
         if pieces:
             text = " ".join(unescape("".join(pieces)).split())
             if text:
-                out.append((text, min(linked, len(text)), article, box, marks))
+                out.append((text, min(linked, len(text)), article, box, mark))
             pieces.clear()
         linked = 0
 
@@ -100,14 +104,16 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
                 linked += len(s)
 
     def close(k: int) -> None:
-        nonlocal dark, links, article, box, marks
+        nonlocal dark, links, article, box, mark
         while len(stack) > k:
             tag, hid, *before = stack.pop()
+            places[tag].pop()
             if tag in BLOCK:
                 flush()
+                block_at.pop()
             dark -= hid
             links -= tag == "a"
-            article, box, marks = before
+            article, box, mark = before
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -123,24 +129,17 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
             continue
         tag = tag.lower()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
+            here = places.get(tag)
+            if here and (tag in BLOCK or here[-1] > block_at[-1]):
+                close(here[-1])
+            elif tag in BLOCK:
+                flush()
             continue
         while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
             close(len(stack) - 1)
         if tag in BLOCK:
-            for k in range(len(stack) - 1, -1, -1):  # a p or li left open below inline elements
-                if stack[k][0] in BLOCK:
-                    if tag in CLOSED_BY.get(stack[k][0], ()):
-                        close(k)
-                    break
+            if block_at[-1] >= 0 and tag in CLOSED_BY.get(stack[block_at[-1]][0], ()):  # a p or li left open below inline elements
+                close(block_at[-1])
             flush()
         attributes = m[4] or ""
         if tag in _RAW and not attributes.rstrip().endswith("/"):
@@ -152,11 +151,14 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
         hid = tag in HIDDEN or is_furniture(tag, attributes) and not (tag == "header" and article)
         if tag == "a":
             links += 1
-        stack.append((tag, hid, article, box, marks))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            block_at.append(len(stack))
+        stack.append((tag, hid, article, box, mark))
         dark += hid
         if not dark and tag not in ("html", "body", "main") and (tag != "article" or article) and not (tag == "header" and article) and (words := furniture_words(attributes)):
-            marks = (*marks, len(named))
-            named.append(not words.isdisjoint(COMMENT_NAMES))
+            named.append((mark, not words.isdisjoint(COMMENT_NAMES)))
+            mark = len(named) - 1
         if tag in BOXES:
             boxes += 1
             box = boxes
@@ -167,21 +169,27 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
     return [x[:4] for x in _shown(out, named)]
 
 
-def _shown(found: list[tuple[str, int, int, int, tuple[int, ...]]], named: list[bool]) -> list[tuple[str, int, int, int, tuple[int, ...]]]:
+def _shown(found: list[tuple[str, int, int, int, int]], named: list[tuple[int, bool]]) -> list[tuple[str, int, int, int, int]]:
     """The lines outside elements marked by their names, but for those elements that hold the page's main text."""
     if not named:
         return found
-    free = [x for x in found if not x[4]]
+    free = [x for x in found if x[4] < 0]
     if any(x[2] for x in free):
         return free
     total, outside = sum(len(t) - n for t, n, *_ in found), sum(len(t) - n for t, n, *_ in free)
     text, stated = [0] * len(named), [0] * len(named)
-    for t, n, a, _, marks in found:
-        for m in marks:
+    for t, n, a, _, m in found:
+        if m >= 0:
             text[m] += len(t) - n
             stated[m] += (len(t) - n) * (a > 0)
-    shown = {m for m, comments in enumerate(named) if not comments and (2 * text[m] > total or 0 < stated[m] >= outside)}
-    return [x for x in found if shown.issuperset(x[4])]
+    for m in reversed(range(len(named))):
+        if (around := named[m][0]) >= 0:
+            text[around] += text[m]
+            stated[around] += stated[m]
+    shown: list[bool] = []
+    for m, (around, comments) in enumerate(named):
+        shown.append(not comments and (around < 0 or shown[around]) and (2 * text[m] > total or 0 < stated[m] >= outside))
+    return [x for x in found if x[4] < 0 or shown[x[4]]]
 
 
 def runs(lengths: list[int], surge: int = SURGE) -> list[tuple[int, int]]:

@@ -116,3 +116,44 @@ def test_items_without_spaces_are_found_in_running_text():
     other = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(333))
     found = decontaminate.Index(list(enumerate(items))).matches([other + t + other for t in items], 0.8)
     assert all(f.get(k, (1,))[0] == 0 for k, f in enumerate(found))
+
+
+LONG_TEXTS = {"spaces": " " * 5_000_000, "feeds": "\n" * 5_000_000, "letters": "a" * 5_000_000, "mixed": "start" + " \n" * 2_000_000 + "end\t" + "　" * 10_000}
+
+
+@pytest.mark.parametrize("tail", ["", "x", " x", "\nx", "\n", "7", "!"])
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "　\t", "\r\n"])
+def test_long_white_space_gives_the_tokens_of_the_whole_encoding(run, tail):
+    encoder = tokens.Encoder(tokens.load_ranks(tokens.VOCABULARY))
+    for text in (run * 5_000 + tail, "word" + run * 5_000 + tail + run * 9_000 + tail, run * 10_000 + "\x1c" + run * 3_000 + tail):
+        assert encoder.encode(text) == encoder.encoding.encode_ordinary(text)
+
+
+def test_texts_of_millions_of_equal_characters_are_counted(spark):
+    encoder = tokens.Encoder(tokens.load_ranks(tokens.VOCABULARY))
+    docs = spark.createDataFrame(list(LONG_TEXTS.items()), "name string, text string").selectExpr("hash(name) doc_id", "text")
+    got = tokens.token_counts(docs).selectExpr("doc_id", "n_tokens", "char_end - char_start AS n").groupBy("doc_id").sum("n_tokens", "n").collect()
+    assert sorted((r[1], r[2]) for r in got) == sorted((len(encoder.encode(t)), len(t)) for t in LONG_TEXTS.values())
+
+
+@pytest.mark.parametrize("page", ["<b>x</i>", "<i><p><b>x</i>", "<div class=ad>x", "<p><b>x", "</p>", "<a b='", '<a b="', "<li><b>x</p>", "<article><div class=note>"])
+def test_a_megabyte_of_broken_markup_takes_no_second(page):
+    import time
+
+    began = time.time()
+    html.main_text(page * (1_000_000 // len(page)))
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<p>{LINE}</p><p><a href="foo>link</a> {OTHER}</p>', f"{LINE} link {OTHER}"),
+        (f'<p>{LINE}</p><p><a href="foo>link</a> {OTHER} <a href="bar">two</a></p>', f"{LINE} link {OTHER} two"),
+        (f"<p title='a > b' class=\"x\">{LINE}</p>", LINE),
+        (f"<p title=don't>{LINE} It's here.</p>", f"{LINE} It's here."),
+        (f"<p class=\"a\"id=\"b\">{LINE}</p>", LINE),
+    ],
+)
+def test_unclosed_quotes_hide_no_text(page, want):
+    assert html.main_text(page) == want
