@@ -1,28 +1,29 @@
 """Toxicity: noisy-channel restoration of disguised words, then a score of the restored text.
 
-A token that may be disguised (leetspeak, spaced letters, repeated letters) becomes a lattice of
-readings per character; Viterbi decoding under a character trigram model of the whole corpus
-picks the restored word. The classifier counts restored words and their openings in a bounded
-sample of labelled documents and maps a document's strongest evidence to a probability.
+A token that may be disguised (leetspeak, marks between letters, repeated letters), and a run of very short tokens
+with the blanks between them, becomes a lattice of readings per character: a letter that it stands for, nothing, or the
+end of a word. Viterbi decoding under a character trigram model of the whole corpus picks the restored words, so
+the model says where spaced letters join and where words end. The classifier counts restored words, their openings and openings
+that several words of a document share in a bounded sample of labelled documents and maps a document's strongest
+evidence to a probability.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 
 #: Labelled documents the classifier is fitted on at most, the first by hash of doc_id.
 TRAIN_ROWS = 20_000
-#: Features kept in the model at most, the strongest by likelihood ratio.
-MODEL_ROWS = 20_000
 THRESHOLD = 0.3
 #: Training documents a feature needs, and the likelihood ratio (natural log, times two) it must reach.
 MIN_DOCS, MIN_G2 = 3, 15.0
@@ -39,15 +40,15 @@ LEET = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i",
 }
 #: Channel costs in nats.
-SUBSTITUTE, SKIP_SYMBOL, SKIP_REPEAT, KEEP_SYMBOL = 1.0, 1.5, 0.2, 12.0
+SUBSTITUTE, SKIP_SYMBOL, SKIP_REPEAT, KEEP_SYMBOL, BREAK_AT_SYMBOL, SKIP_BLANK, BREAK_AT_BLANK = 1.0, 1.5, 0.2, 12.0, 1.5, 0.7, 0.7
+#: Runs of at least this many tokens of at most so many characters are read as one lattice, blanks included.
+RUN_TOKENS, RUN_CHARS = 3, 2
 
 CLASSES = 64
 EDGE = 0
 _EDGE_MARKS = ".,;:?\"'()[]{}<>|/\\…«»“”„‘’–—-_"
 _RUN = re.compile(r"^([#*$%&!@+~^=])\1+|([#*$%&!@+~^=])\2+$")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ ._*-]\S){2,}(?!\S)")
-_TRIPLE = re.compile(r"(.)\1\1")
-_LONGEST_WORD = 32
+_DOUBLE, _TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 
 
 def _class_table() -> np.ndarray:
@@ -98,65 +99,104 @@ class Restorer:
         self.memo: dict[str, str] = {}
 
     def word(self, token: str) -> str:
-        """The restored form of a lower-case token without white space."""
+        """The restored form of a lower-case token without white space; several words have blanks between them."""
         core = token.strip(_EDGE_MARKS)
+        if not core.isalpha():
+            core = _RUN.sub("", core).strip(_EDGE_MARKS)
         if core.isalpha() and not _TRIPLE.search(core):
-            return core
-        core = _RUN.sub("", core).strip(_EDGE_MARKS)
-        if core.isalpha() and not _TRIPLE.search(core):
-            return core
-        if not core or not any(ch.isalpha() or ch in LEET for ch in core) or core.isdigit() or len(core) > _LONGEST_WORD and not _TRIPLE.search(core):
+            return self._without_doubles(core)
+        if not core or not any(ch.isalpha() or ch in LEET for ch in core) or core.isdigit():
             return core
         return self.decode(core)
 
-    def decode(self, token: str) -> str:
-        """Best reading of the token: each character is itself, another letter or nothing."""
-        states: dict[tuple[int, int, str], tuple[float, tuple]] = {(EDGE, EDGE, ""): (0.0, ())}
-        for ch in token:
-            letter = ch.isalpha()
-            own = int(TABLE[min(ord(ch), 65535)])
-            readings = [(ch, own, 0.0 if letter else KEEP_SYMBOL)]
+    def _without_doubles(self, word: str) -> str:
+        """What decode gives for letters none of which stands three times in a row: whether a double is read as
+        one letter changes only the trigrams around it, so each is decided by itself."""
+        cost, last, out = self.cost, 0, []
+        for m in _DOUBLE.finditer(word):
+            i = m.start()
+            before, x, after = ((int(TABLE[min(ord(word[k]), 65535)]) if 0 <= k < len(word) else EDGE) for k in (i - 1, i, i + 2))
+            if cost[before][x][x] + cost[x][x][after] > SKIP_REPEAT + cost[before][x][after]:
+                out.append(word[last:i])
+                last = i + 1
+        return "".join(out) + word[last:] if out else word
+
+    def decode(self, text: str) -> str:
+        """Best reading of the text: a letter is itself, or nothing where it repeats; another character a letter, itself,
+        nothing or the end of a word; a blank nothing or the end of a word. No limit on the length; linear in it."""
+        return self.best(text)[1]
+
+    def best(self, text: str) -> tuple[float, str]:
+        """Cost of the best reading, and the reading."""
+        cost, prev = self.cost, ""
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}  # last two classes: cost and path
+        for ch in text:
+            letter, blank = ch.isalpha(), ch.isspace()
+            readings = [] if blank else [(ch, int(TABLE[min(ord(ch), 65535)]), 0.0 if letter else KEEP_SYMBOL)]
             readings += [(r, ord(r) - 96, SUBSTITUTE) for r in LEET.get(ch, "")]
-            new: dict[tuple[int, int, str], tuple[float, tuple]] = {}
-            for (p, q, last), (cost, path) in states.items():
+            skip = SKIP_BLANK if blank else SKIP_REPEAT if ch == prev else None if letter else SKIP_SYMBOL
+            stop = BREAK_AT_BLANK if blank else None if letter or ch.isdigit() else BREAK_AT_SYMBOL
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (p, q), (so_far, path) in states.items():
+                after = cost[p][q]
                 for r, c, extra in readings:
-                    at = (q, c, r)
-                    total = cost + extra + self.cost[p][q][c]
-                    if at not in new or total < new[at][0]:
-                        new[at] = (total, (path, r))
-                skip = SKIP_REPEAT if ch == last else None if letter else SKIP_SYMBOL
-                if skip is not None:
-                    at = (p, q, last)
-                    if at not in new or cost + skip < new[at][0]:
-                        new[at] = (cost + skip, path)
-            states = new
-        cost, path = min((cost + self.cost[p][q][EDGE], path) for (p, q, _), (cost, path) in states.items())
+                    total = so_far + extra + after[c]
+                    if (q, c) not in new or total < new[q, c][0]:
+                        new[q, c] = (total, (path, r))
+                if skip is not None and ((p, q) not in new or so_far + skip < new[p, q][0]):
+                    new[p, q] = (so_far + skip, path)
+                if stop is not None and q != EDGE:
+                    total = so_far + stop + after[EDGE]
+                    if (q, EDGE) not in new or total < new[q, EDGE][0]:
+                        new[q, EDGE] = (total, (path, " "))
+            states, prev = new, ch
+        total, path = min(((so_far + (cost[p][q][EDGE] if q != EDGE else 0.0), path) for (p, q), (so_far, path) in states.items()), key=lambda x: x[0])
         out = []
         while path:
             path, r = path
             out.append(r)
-        return "".join(reversed(out))
+        return total, "".join(reversed(out))
 
     def words(self, text: str) -> set[str]:
-        """Distinct restored words of a text; runs of spaced single characters are joined first."""
-        low = text.lower()
-        tokens = set(low.split())
-        if sum(len(t) == 1 for t in tokens) > 1:
-            tokens |= {re.sub(r"[ ._*-]", "", m[0]) for m in _SPACED.finditer(low)}
+        """Distinct restored words of a text: of its tokens, and of its runs of short tokens."""
+        tokens = text.lower().split()
         memo, out = self.memo, set()
         if len(memo) > MEMO:
             memo.clear()
-        for t in tokens:
+        for t in {*tokens, *short_runs(tokens)}:
             w = memo.get(t)
             if w is None:
-                w = memo[t] = self.word(t)
-            out.add(w)
+                w = memo[t] = self.decode(t) if " " in t else self.word(t)
+            if " " in w:
+                out.update(w.split())
+            else:
+                out.add(w)
         out.discard("")
         return out
 
 
-def features(word: str) -> list[str]:
-    return [f"={word}", *(f"{word[:k]}*" for k in OPENINGS if len(word) > k)]
+def short_runs(tokens: list[str]) -> list[str]:
+    """Runs of RUN_TOKENS tokens or more of at most RUN_CHARS characters, with a blank between tokens."""
+    short, out, k = [i for i, t in enumerate(tokens) if len(t) <= RUN_CHARS], [], 0
+    while k < len(short):
+        stop = k + 1
+        while stop < len(short) and short[stop] == short[stop - 1] + 1:
+            stop += 1
+        if stop - k >= RUN_TOKENS:
+            out.append(" ".join(tokens[short[k] : short[stop - 1] + 1]))
+        k = stop
+    return out
+
+
+def openings(word: str) -> list[str]:
+    return [f"{word[:k]}*" for k in OPENINGS if len(word) > k]
+
+
+def features(words: Collection[str]) -> Iterator[list[str]]:
+    """For each of a document's distinct words: the word, its openings, and those of them that another word has too."""
+    shared = Counter(o for w in words for o in openings(w))
+    for w in words:
+        yield [f"={w}", *(o for o in openings(w)), *(f"{o}*" for o in openings(w) if shared[o] > 1)]
 
 
 def weight(pos: float, neg: float, all_pos: float, all_neg: float) -> float:
@@ -198,7 +238,7 @@ def crc_fold(doc_id: str = "doc_id"):
 
 
 class Model:
-    """What scoring needs; every part has a fixed bound (64 ** 3 grams, MODEL_ROWS features)."""
+    """What scoring needs: at most 64 ** 3 grams, and the features of at most TRAIN_ROWS documents that speak clearly for the label."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, weights: dict[str, float], line: tuple[float, float, float], base: float):
         self.grams, self.counts, self.weights, self.line, self.base = grams, counts, weights, line, base
@@ -207,8 +247,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most TRAIN_ROWS labelled documents outside fold 2, over the trigrams of all documents.
 
-    A document labelled more than once counts as toxic if any label says so; null labels and ids
-    are not used. With one class or none, every score is the share of toxic labels (0 without any).
+    A document labelled more than once counts as toxic if any label says so, of rows with one doc_id the least text counts; null
+    labels and ids are not used. With one class or none, every score is the share of toxic labels (0 without any).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -220,47 +260,44 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     )
     picked = spark.createDataFrame(sample.toPandas().astype({"doc_id": "int64", "toxic": "int32"}), "doc_id long, toxic int")
-    train = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")  # at most TRAIN_ROWS pairs of numbers
+    train = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")  # at most TRAIN_ROWS pairs of numbers
     tables = spark.sparkContext.broadcast((grams, counts))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(*tables.value)
-        seen: dict[str, list[int]] = {}
-        n = [0, 0]
         for b in (x for batch in batches for x in slices(batch, 1)):
-            for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n[y > 0] += 1
-                for f in {f for w in restorer.words(text or "") for f in features(w)}:
-                    seen.setdefault(f, [0, 0])[y > 0] += 1
-        names = ["", *seen]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([n[1], *(v[1] for v in seen.values())], pa.int64()), pa.array([n[0], *(v[0] for v in seen.values())], pa.int64())], ["f", "pos", "neg"])
-
-    summed = train.mapInArrow(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    n = F.col("pos") + F.col("neg")
-    kept = summed.where((F.col("f") == "") | ((F.col("pos") >= MIN_DOCS) & (F.col("pos") * 2 >= F.col("neg")))).orderBy((F.col("f") != ""), (F.col("pos") * F.col("pos") / n).desc(), "f").limit(MODEL_ROWS + 1).toPandas()
-    totals = kept[kept.f == ""]
-    all_pos, all_neg = (int(totals.pos.sum()), int(totals.neg.sum())) if len(totals) else (0, 0)
+            words = [sorted(restorer.words(t or "")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[*map("\t".join, features(w))] for w in words], pa.list_(pa.string()))], ["toxic", "words"])
+
+    rows = cut(train.mapInArrow(restore, "toxic int, words array<string>"))  # features by word, tabs between them; read by the counts and by the evidence
+    pos, n = F.sum((F.col("toxic") > 0).cast("long")).alias("pos"), F.count("*").alias("n")
+    all_pos, all_rows = rows.agg(F.coalesce(pos, F.lit(0)), n).first()
+    all_neg = all_rows - all_pos
     if not all_pos or not all_neg:
         return Model(grams, counts, {}, (0.0, 0.0, 0.0), float(all_pos > 0))
-    table = {f: (p, q) for f, p, q in zip(kept.f, kept.pos.tolist(), kept.neg.tolist(), strict=True) if f}
+    names = F.array_distinct(F.flatten(F.transform("words", lambda w: F.split(w, "\t"))))
+    # features that can reach a weight above 0, with or without one document
+    kept = rows.select("toxic", F.explode(names).alias("f")).groupBy("f").agg(pos, n).where((F.col("n") >= MIN_DOCS) & (F.col("pos") > 0) & (F.col("pos") * all_rows > (F.col("n") - 1) * all_pos)).toPandas()
+    counted = zip(kept.f, kept.pos.tolist(), (kept.n - kept.pos).tolist(), strict=True)
+    table = {f: (p, q) for f, p, q in counted if weight(p, q, all_pos, all_neg) > 0 or q and weight(p, q - 1, all_pos, all_neg - 1) > 0}
     shared = spark.sparkContext.broadcast(table)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Evidence of each training document under counts without itself."""
-        restorer, known = Restorer(*tables.value), shared.value
-        for b in (x for batch in batches for x in slices(batch, 1)):
-            rows = []
-            for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        known = shared.value
+        for b in batches:
+            out = []
+            for y, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 y, values = int(y > 0), []
-                for w in restorer.words(text or ""):
-                    got = [known[f] for f in features(w) if f in known]
+                for w in words:
+                    got = [known[f] for f in w.split("\t") if f in known]
                     if got and (v := max(weight(p - y, q - 1 + y, all_pos - y, all_neg - 1 + y) for p, q in got)) > 0:
                         values.append(v)
-                rows.append((*evidence(values), y))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.int64()))], ["top", "total", "y"])
+                out.append((*evidence(values), y))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.int64()))], ["top", "total", "y"])
 
-    rows = train.mapInArrow(left_out, "top double, total double, y long").toPandas()
-    line = _fit_logistic(rows[["top", "total"]].to_numpy(), rows["y"].to_numpy())
+    seen = rows.mapInArrow(left_out, "top double, total double, y long").toPandas()  # TRAIN_ROWS rows at most
+    line = _fit_logistic(seen[["top", "total"]].to_numpy(), seen["y"].to_numpy())
     weights = {f: w for f, (p, q) in table.items() if (w := weight(p, q, all_pos, all_neg)) > 0}
     return Model(grams, counts, weights, tuple(map(float, line)), all_pos / (all_pos + all_neg))
 
@@ -269,20 +306,27 @@ class Scorer:
     def __init__(self, m: Model):
         self.m, self.restorer, self.memo = m, Restorer(m.grams, m.counts), {}
 
+    def _known(self, word: str) -> tuple[float, list[str]]:
+        """The weight of a word by itself, and its openings that weigh more where another word shares them; nothing for most words."""
+        w = self.m.weights
+        own = max((w.get(f, 0.0) for f in (f"={word}", *openings(word))), default=0.0)
+        return own, [o for o in openings(word) if w.get(f"{o}*", 0.0) > own]
+
     def __call__(self, text: str | None) -> float:
         m, memo = self.m, self.memo
         if not m.weights:
             return m.base
         if len(memo) > MEMO:
             memo.clear()
-        values = []
+        found, shared = [], Counter()
         for w in self.restorer.words(text or ""):
             v = memo.get(w)
             if v is None:
-                v = memo[w] = max((m.weights.get(f, 0.0) for f in features(w)), default=0.0)
-            if v > 0:
-                values.append(v)
-        top, total = evidence(values)
+                v = memo[w] = self._known(w)
+            if v[0] > 0 or v[1]:
+                found.append(v)
+                shared.update(v[1])
+        top, total = evidence([x for own, some in found if (x := max([own, *(m.weights[f"{o}*"] for o in some if shared[o] > 1)])) > 0])
         a, c, bias = m.line
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * top + c * total + bias))))
 

@@ -124,6 +124,52 @@ def test_restoration(token, want, restorer):
 
 def test_spaced_letters(restorer):
     assert "idiot" in restorer.words("you are an i d i o t today") and "moron" in restorer.words("m-o-r-o-n")
+    assert {"idiot", "moron"} <= restorer.words("i d i o t m o r o n") and "moron" in restorer.words("you are a m o r o n") and "stupid" in restorer.words("st up id") and "idiot" in restorer.words("i  d  i  o  t")
+
+
+def test_doubled_letters_and_joined_words(restorer):
+    assert restorer.word("stuupid") == "stupid" and restorer.word("ssttuuppiidd") == "stupid" and restorer.word("loser") == "loser"
+    assert {"worthless", "idiot"} <= restorer.words("with.the.w0rthl3ss.1diot.and.the.clown.in.the.trash.but.the.loser")
+
+
+def readings(text):
+    """All readings of a text with their channel costs, one after another."""
+    out, prev = [("", 0.0)], ""
+    for ch in text:
+        new, letter = [], ch.isalpha()
+        for r, c in out:
+            if ch == " ":
+                new += [(r, c + toxicity.SKIP_BLANK)] + ([(r + " ", c + toxicity.BREAK_AT_BLANK)] if r and r[-1] != " " else [])
+                continue
+            new += [(r + ch, c + (0 if letter else toxicity.KEEP_SYMBOL))] + [(r + x, c + toxicity.SUBSTITUTE) for x in toxicity.LEET.get(ch, "")]
+            if ch == prev:
+                new.append((r, c + toxicity.SKIP_REPEAT))
+            elif not letter:
+                new.append((r, c + toxicity.SKIP_SYMBOL))
+            if not letter and not ch.isdigit() and r and r[-1] != " ":
+                new.append((r + " ", c + toxicity.BREAK_AT_SYMBOL))
+        out, prev = new, ch
+    return out
+
+
+def test_viterbi_equals_all_readings(restorer):
+    r = random.Random(6)
+    for alphabet in ("id10t!. ", "aabt", "stup1 $", "the idiot"):
+        for _ in range(60):
+            text = "".join(r.choice(alphabet) for _ in range(r.randint(1, 7)))
+            best = float("inf")
+            for reading, channel in readings(text):
+                c = [0, 0, *[0 if ch == " " else int(toxicity.TABLE[ord(ch)]) for ch in reading]]
+                if c[-1] or len(c) == 2:
+                    c.append(0)
+                if len(reading) == 0:
+                    total = channel
+                else:
+                    total = channel + sum(restorer.cost[c[k]][c[k + 1]][c[k + 2]] for k in range(len(c) - 2))
+                best = min(best, total)
+            assert abs(restorer.best(text)[0] - best) < 1e-9, text
+            if text.isalpha() and not toxicity._TRIPLE.search(text):
+                assert restorer._without_doubles(text) == restorer.decode(text)
 
 
 @needs_data
