@@ -51,12 +51,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Parts into which the rows of one key are dealt where they meet the key's minimum.
+PARTS = 64
+
+
+def part_of(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int")
+
+
+def with_least(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """df with the least value of its key. A key's rows are dealt into PARTS by value: the minima of the parts are
+    combined and joined back by key and part, so no task joins more than a part of a hot key. Rows with a null key are left out."""
+    dealt = df.withColumn("__fw_part", part_of(value))
+    parts = dealt.groupBy(key, "__fw_part").agg(F.min(value).alias("__fw_least"))
+    whole = parts.groupBy(key).agg(F.min("__fw_least").alias(out))
+    return dealt.join(parts.select(key, "__fw_part").join(whole, key), [key, "__fw_part"]).drop("__fw_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links between 64-bit node ids -> (node, root), root the least id reachable.
 
-    Alternating large-star and small-star rounds. Minima per node are partial aggregates,
-    and the joins are plain equi-joins, so a node with very many links is split by adaptive
-    skew handling; nothing is gathered in one task or on the driver. Nulls and loops are dropped.
+    Alternating large-star and small-star rounds over minima per node (see with_least), so a node with very many links
+    is spread over tasks; nothing is gathered in one task or on the driver. Nulls and loops are dropped.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -65,12 +81,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        edges = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        both = with_least(edges.union(edges.select("b", "a")), "a", "b", "m")
+        large = both.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        small = with_least(large, "a", "b", "m")
+        edges = cut(small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct())
         after = state(edges)
         if after == before:
             break

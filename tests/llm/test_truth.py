@@ -58,7 +58,7 @@ def test_simhash_components(spark):
     assert {i: (r.fingerprint, r.component_id) for i, r in got.items()} == {i: (f"{f:016x}", find(i)) for i, f in rows}
 
 
-def test_tile_links_and_hubs_equal_brute_force(spark, monkeypatch):
+def test_links_equal_brute_force(spark, monkeypatch):
     r = np.random.default_rng(3)
     centre = r.integers(0, 1 << 63, 6, dtype=np.uint64)
     values = {int(c) ^ sum(1 << int(b) for b in set(r.integers(0, 64, k))) for c in centre for k in (0, 1, 1, 2, 2, 2, 3, 3, 4, 5)}
@@ -84,14 +84,36 @@ def test_tile_links_and_hubs_equal_brute_force(spark, monkeypatch):
             mine[b] = a
         return {tuple(sorted(int(x) for x in v if find(mine, int(x)) == k)) for k in {find(mine, int(x)) for x in v}}
 
-    assert grouped(zip(*(x.tolist() for x in simhash.tile_links(v, tile=7)), strict=True)) == groups
+    tiles = simhash.Tiles(tile=7)
+    assert grouped(zip(*(x.tolist() for x in tiles.links(v)), strict=True)) == groups and tiles.skipped and tiles.compared
     frame = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
-    for hot in (4096, 2):
-        monkeypatch.setattr(simhash, "HOT_CELL", hot)
+    for small in (32, 2):
+        monkeypatch.setattr(simhash, "SMALL", small)
         edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(frame).collect()]
         assert grouped(edges) == groups
 
 
+def test_a_group_of_over_ten_thousand_fingerprints_equals_brute_force(spark):
+    """One cell: fingerprints that differ in their last 16 bits alone, and as many elsewhere."""
+    r = np.random.default_rng(5)
+    v = np.unique(np.concatenate([r.choice(1 << 16, 12_000, replace=False).astype(np.uint64) + np.uint64(0xABCD << 40), r.integers(0, 1 << 63, 3000, dtype=np.uint64)]))
+    tiles = simhash.Tiles()
+    tiles.links(v)
+    assert tiles.skipped > tiles.compared / 4
+    label = np.arange(len(v))
+    for k in range(0, len(v), 500):
+        x, y = np.nonzero(np.bitwise_count(v[k : k + 500, None] ^ v[None]) <= 2)
+        simhash.Tiles._join(label, x + k, y)
+    got = {int(r.node) % (1 << 64): int(r.root) for r in common.components(simhash.links(spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long"))).collect()}
+    want = {}
+    for k, root in enumerate(label.tolist()):
+        want.setdefault(root, set()).add(int(v[k]))
+    mine = {}
+    for x in v.tolist():
+        mine.setdefault(got.get(x, int(np.array(x, "<u8").view("<i8"))), set()).add(x)
+    assert {frozenset(s) for s in want.values()} == {frozenset(s) for s in mine.values()} and max(map(len, want.values())) > 10_000
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(80)] + [(5, 5)]
