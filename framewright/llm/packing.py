@@ -19,8 +19,8 @@ from .common import cut, slices
 from .tokens import Encoder, load_ranks
 
 MAX_LENGTH, BUCKETS, BUDGET = 2048, 8, 16_384
-#: Hash cells per bucket in which rows are numbered, as many as twice the shuffle partitions, at most.
-CELLS = 4_000
+#: Hash cells per bucket in which rows are numbered: twice the shuffle partitions, and at most these, as their offsets are broadcast (one number a cell and bucket).
+CELLS = 100_000
 
 
 def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS,
 
     A batch is (bucket, batch): consecutive pieces of a bucket in hash order, as many as fit in budget at the
     bucket's padded length (one at least); only a bucket's last batch may be short. Rows are numbered in hash
-    cells, so no task holds a bucket. Repeated rows are pieces of their own, an empty table gives no rows.
+    cells of doc_id, piece and text, so no task holds a bucket or all rows without a doc_id. Repeated rows are pieces of their own, an empty table gives no rows.
     """
     spark = docs.sparkSession
     table = cut(pieces(docs, max_length, token_pattern, vocabulary))
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKETS,
     for k in reversed(range(len(tops) - 1)):
         place = F.when(F.col("n_tokens") <= tops[k], k).otherwise(place)
     cells = min(CELLS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = table.withColumn("bucket", place).withColumn("hash", F.xxhash64("doc_id", "piece")).withColumn("cell", F.pmod("hash", F.lit(cells)).cast("int"))
+    placed = table.withColumn("bucket", place).withColumn("hash", F.xxhash64("doc_id", "piece", "text")).withColumn("cell", F.pmod("hash", F.lit(cells)).cast("int"))
     sizes = placed.groupBy("bucket", "cell").count()
     before = F.sum("count").over(Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("bucket", "cell", F.coalesce(before, F.lit(0)).alias("before"))  # buckets x cells rows at most
