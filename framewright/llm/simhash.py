@@ -192,7 +192,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     def meet(rows: DataFrame, found: DataFrame, n: int, how: str) -> DataFrame:
         return rows.join(F.broadcast(found) if n <= BROADCAST_IDS else found.hint("shuffle_merge"), rows["doc_id"].cast("long") == found["__fw_id"], how)
 
-    n_dropped, n_again = ids.agg(F.count_if("__fw_id <> least"), F.count_if("__fw_id = least")).first()
+    n_dropped, n_again = ids.agg(F.count_if(F.expr("__fw_id <> least")), F.count_if(F.expr("__fw_id = least"))).first()
     rows = meet(docs, dropped, n_dropped, "left_anti") if n_dropped else docs
     if not n_again:
         return rows

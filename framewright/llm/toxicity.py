@@ -270,14 +270,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[*map("\t".join, features(w))] for w in words], pa.list_(pa.string()))], ["toxic", "words"])
 
     rows = cut(train.mapInArrow(restore, "toxic int, words array<string>"))  # features by word, tabs between them; read by the counts and by the evidence
-    pos, n = F.sum((F.col("toxic") > 0).cast("long")).alias("pos"), F.count("*").alias("n")
-    all_pos, all_rows = rows.agg(F.coalesce(pos, F.lit(0)), n).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents of each label that have a feature; '' stands for all documents."""
+        n, pos = Counter(), Counter()
+        for b in batches:
+            for y, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = {"", *(f for w in words for f in w.split("\t"))}
+                n.update(own)
+                if y > 0:
+                    pos.update(own)
+        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array([pos[f] for f in n], pa.int64()), pa.array(n.values(), pa.int64())], ["f", "pos", "n"])
+
+    summed = cut(rows.mapInArrow(count, "f string, pos long, n long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")))
+    _, all_pos, all_rows = summed.where("f = ''").first() or ("", 0, 0)
     all_neg = all_rows - all_pos
     if not all_pos or not all_neg:
         return Model(grams, counts, {}, (0.0, 0.0, 0.0), float(all_pos > 0))
-    names = F.array_distinct(F.flatten(F.transform("words", lambda w: F.split(w, "\t"))))
     # features that can reach a weight above 0, with or without one document
-    kept = rows.select("toxic", F.explode(names).alias("f")).groupBy("f").agg(pos, n).where((F.col("n") >= MIN_DOCS) & (F.col("pos") > 0) & (F.col("pos") * all_rows > (F.col("n") - 1) * all_pos)).toPandas()
+    kept = summed.where((F.col("f") != "") & (F.col("n") >= MIN_DOCS) & (F.col("pos") > 0) & (F.col("pos") * all_rows > (F.col("n") - 1) * all_pos)).toPandas()
     counted = zip(kept.f, kept.pos.tolist(), (kept.n - kept.pos).tolist(), strict=True)
     table = {f: (p, q) for f, p, q in counted if weight(p, q, all_pos, all_neg) > 0 or q and weight(p, q - 1, all_pos, all_neg - 1) > 0}
     shared = spark.sparkContext.broadcast(table)
