@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 from ..errors import EngineError
+from ..sources import media
 
 #: Normalisation by the preset "imagenet", and the letterbox fill.
 IMAGENET_MEAN, IMAGENET_STD, PAD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225), 114
@@ -105,9 +106,12 @@ def images(rows: list[dict], options: dict[str, Any]) -> tuple[np.ndarray, list[
     mean, std = options.get("mean", IMAGENET_MEAN if preset else (0, 0, 0)), options.get("std", IMAGENET_STD if preset else (1, 1, 1))
     tensors, geometry = [], []
     for row in rows:
-        if row.get("encoded") is None:
-            raise EngineError("MEDIA_DECODE_FAILED", "the image has no encoded bytes")
-        frame, where = fit(png_pixels(row["encoded"]), size, options.get("resize", "letterbox"), options.get("pad_value", PAD))
+        encoded = row.get("encoded")
+        if encoded is None and row.get("uri") and row.get("pts_ms") is not None:
+            encoded = media.frame(row["uri"], row["pts_ms"])  # frames of a clip carry where they stand, not their pixels
+        if encoded is None:
+            raise EngineError("MEDIA_DECODE_FAILED", "the image has neither encoded bytes nor a place in a clip")
+        frame, where = fit(png_pixels(encoded), size, options.get("resize", "letterbox"), options.get("pad_value", PAD))
         x = (frame * options.get("scale", 1 / 255) - np.array(mean)) / np.array(std)
         tensors.append(x if options.get("layout", "NCHW") == "NHWC" else x.transpose(2, 0, 1))
         geometry.append((*size, *where))

@@ -24,6 +24,28 @@ MOCK_BOX, MOCK_CONFIDENCE = (0.25, 0.25, 0.5, 0.5), 0.9
 UNAVAILABLE = ("transformers", "vllm", "sglang", "llama-cpp")
 
 
+def read_artifact(source: str) -> bytes:
+    """The bytes of a model file, on any file system that Arrow reaches."""
+    if "://" not in source or source.startswith("file://"):
+        with open(source.removeprefix("file://"), "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(source)
+    with system.open_input_stream(path) as f:
+        return f.read()
+
+
+def artifact_hash(source: str) -> str:
+    """SHA-256 of a model file, or of the source text where there is no file to read."""
+    if not source.startswith(("mock://", "triton+")):
+        try:
+            return hashlib.sha256(read_artifact(source)).hexdigest()
+        except (OSError, ValueError):
+            pass
+    return hashlib.sha256(source.encode()).hexdigest()
+
+
 @dataclass(frozen=True)
 class Model:
     """One immutable version of a model."""
@@ -48,8 +70,8 @@ class Model:
 
     @property
     def fingerprint(self) -> str:
-        """Hash of what decides the result; a mock's artifact hash is that of its source text."""
-        said = repr((self.kind, hashlib.sha256(self.source.encode()).hexdigest(), self.runtime_name, sorted(self.options.items()), [t.simpleString() for t in self.arguments], self.returns and self.returns.simpleString()))
+        """Hash of what decides the result, the artifact's bytes among it; a mock's artifact is its source text."""
+        said = repr((self.kind, artifact_hash(self.source), self.runtime_name, sorted(self.options.items()), [t.simpleString() for t in self.arguments], self.returns and self.returns.simpleString()))
         return hashlib.sha256(said.encode()).hexdigest()
 
     def result_type(self) -> T.DataType:
@@ -92,15 +114,15 @@ def mock_call(model: Model) -> Callable[..., Column]:
 _SESSIONS: dict[str, Any] = {}
 
 
-def _session(model: Model):
+def _session(key: str, source: str):
     """The worker's session of a model, made once."""
-    if model.fingerprint not in _SESSIONS:
+    if key not in _SESSIONS:
         import onnxruntime
 
         options = onnxruntime.SessionOptions()
         options.intra_op_num_threads = 1
-        _SESSIONS[model.fingerprint] = onnxruntime.InferenceSession(model.source.removeprefix("file://"), options, providers=["CPUExecutionProvider"])
-    return _SESSIONS[model.fingerprint]
+        _SESSIONS[key] = onnxruntime.InferenceSession(read_artifact(source), options, providers=["CPUExecutionProvider"])
+    return _SESSIONS[key]
 
 
 def scatter(values: list[pa.Array], run: Callable[[list[pa.Array]], pa.Array], strict: bool, kind: pa.DataType) -> pa.Array:
@@ -143,16 +165,17 @@ def call(model: Model, strict: bool = False) -> Callable[..., Column]:
     from . import decode
 
     result = model.result_type()
-    kind = to_arrow_type(result)
+    kind, key = to_arrow_type(result), model.fingerprint
 
     def run(chunk: list[pa.Array]) -> pa.Array:
-        session = _session(model)
+        session = _session(key, model.source)
+        wanted = [model.options["output"]] if "output" in model.options else None  # a graph's first output unless one is named
         if model.kind == "GENERIC":
             feeds = {i.name: decode.tensor(v, i.type, i.shape) for i, v in zip(session.get_inputs(), chunk, strict=True)}
-            first = np.asarray(session.run(None, feeds)[0])
+            first = np.asarray(session.run(wanted, feeds)[0])
             return pa.array(first.reshape(len(chunk[0]), -1).tolist() if isinstance(result, T.ArrayType) else first.reshape(-1).tolist(), kind)
         pixels, geometry = decode.images(chunk[0].to_pylist(), model.options)
-        raw = session.run(None, {session.get_inputs()[0].name: pixels})[0]
+        raw = session.run(wanted, {session.get_inputs()[0].name: pixels})[0]
         return pa.array(decode.outputs(np.asarray(raw), geometry, model), kind)
 
     def body(*values: pa.Array) -> pa.Array:

@@ -102,14 +102,6 @@ def exact_tumble_emission(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("total", F.round("total", 4))
 
 
-@query("stream_limit_offset", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 40 OFFSET 15")
-def stream_limit_offset(spark: SparkSession, d: str) -> DataFrame:
-    ordered = table(spark, d, "events").select("event_id", "event_type").orderBy("event_id")
-    limit = sink.Limit(40, 15)
-    parts = [limit.cut(ordered.offset(k * 20).limit(20)) for k in range(4)]
-    return relational.union_by_name(*parts)
-
-
 # boxes and polygons
 
 BOXES = "SELECT p_partkey AS id, CAST((p_size % 10) / 20.0 AS FLOAT) AS x, CAST((p_partkey % 16) / 32.0 AS FLOAT) AS y, CAST(0.25 AS FLOAT) AS w, CAST((p_size % 4 + 1) / 8.0 AS FLOAT) AS h FROM part"
@@ -153,9 +145,10 @@ def _images(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.struct(F.col("url").alias("uri"), (F.col("page_id") % 5 * 160).cast("int").alias("width"), F.lit(480).alias("height")).alias("image"))
 
 
-@query("mock_detect_unnest", "SELECT page_id, 'person' AS label, CAST(0.9 AS FLOAT) AS confidence, CAST(0.5 AS FLOAT) AS cx FROM pages WHERE page_id % 2 = 0")
+@query("mock_detect_unnest", "SELECT page_id, 'person' AS label, CAST(0.9 AS FLOAT) AS confidence, CAST(0.5 AS FLOAT) AS cx FROM pages WHERE length(html) > 3000")
 def mock_detect_unnest(spark: SparkSession, d: str) -> DataFrame:
-    df, (c,) = inference.infer(_images(spark, d), [inference.Call(PEOPLE, ("image",))], before=[F.col("page_id") % 2 == 0])
+    pages = table(spark, d, "pages").select("page_id", F.struct(F.col("url").alias("uri")).alias("image"), "html")
+    df, (c,) = inference.infer(pages, [inference.Call(PEOPLE, ("image",))], before=[F.char_length("html") > 3000])
     return relational.unnest(df, c, "d").select("page_id", "d.label", "d.confidence", spatial.box_center(F.col("d.box"))["x"].alias("cx"))
 
 

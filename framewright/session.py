@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import queue
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 from urllib.parse import urlsplit
 
@@ -34,16 +37,37 @@ FALLBACK_DIR = "/tmp/framewright-checkpoints"
 
 
 class QueryHandle:
-    """A query that has been planned and not yet run."""
+    """A query that has been planned and not yet run. Over a stream, LIMIT and OFFSET at the top count rows across micro-batches."""
 
     def __init__(self, df: DataFrame, limit: sink.Limit | None = None):
         self.df, self.limit, self.tag = df, limit, f"fw-{id(self)}-{time.monotonic_ns()}"
+        self.cancelled, self._query = False, None
 
     def collect(self) -> pa.Table:
+        if getattr(self.df, "isStreaming", False):
+            if self.limit is None or self.limit.limit is None:
+                raise EngineError("UNSUPPORTED_QUERY", "an unbounded query is collected with LIMIT, or read by stream")
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            parts = list(self.stream())
+            return pa.Table.from_batches(parts) if parts else to_arrow_schema(self.df.schema).empty_table()
+        with self._tagged():
+            try:
+                return self.df.toArrow()
+            except pa.ArrowInvalid:  # Arrow can't view a null struct whose fields are declared not null
+                return pa.Table.from_pylist([r.asDict(recursive=True) for r in self.df.collect()])
+
+    @contextmanager
+    def _tagged(self) -> Iterator[None]:
+        """Jobs inside carry the tag that cancel interrupts."""
+        spark = self.df.sparkSession
+        if self.cancelled:
+            raise EngineError("CANCELLED", "the query was cancelled")
+        spark.addTag(self.tag)
         try:
-            return self.df.toArrow()
-        except pa.ArrowInvalid:  # Arrow can't view a null struct whose fields are declared not null
-            return pa.Table.from_pylist([r.asDict(recursive=True) for r in self.df.collect()])
+            yield
+        finally:
+            spark.removeTag(self.tag)
 
     def for_each_batch(self, f: Callable[[pa.RecordBatch], None]) -> None:
         """Rows in batches, a partition at a time on the driver."""
@@ -51,27 +75,87 @@ class QueryHandle:
             f(b)
 
     def stream(self, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+        """Batches of rows; over a stream until LIMIT is reached, the query is cancelled or it fails."""
+        if self.df.isStreaming:
+            yield from self._batches(rows)
+            return
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, part = to_arrow_schema(self.df.schema), []
-        for row in self.df.toLocalIterator():
-            part.append(row.asDict(recursive=True))
-            if len(part) == rows:
+        with self._tagged():
+            for row in self.df.toLocalIterator():
+                part.append(row.asDict(recursive=True))
+                if len(part) == rows:
+                    yield pa.RecordBatch.from_pylist(part, schema)
+                    part = []
+            if part:
                 yield pa.RecordBatch.from_pylist(part, schema)
-                part = []
-        if part:
-            yield pa.RecordBatch.from_pylist(part, schema)
+
+    def _batches(self, rows: int) -> Iterator[pa.RecordBatch]:
+        waiting: queue.Queue[pa.Table] = queue.Queue(4)  # a slow reader holds the stream back
+
+        def write(batch: DataFrame, _: int) -> None:
+            table = batch.toArrow()
+            while table.num_rows and not self.cancelled:
+                try:
+                    return waiting.put(table, timeout=0.2)
+                except queue.Full:
+                    continue
+
+        if self.limit is not None and self.limit.done:
+            return
+        reached, each = threading.Event(), sink.for_each(write, self.limit)
+
+        def run(batch: DataFrame, batch_id: int) -> None:
+            each(batch, batch_id)
+            if self.limit is not None and self.limit.done:
+                reached.set()  # after its rows were handed over
+
+        place = f"{checkpoint_folder(self.df.sparkSession)}/queries/{self.tag}"
+        self._query = q = self.df.writeStream.foreachBatch(run).option("checkpointLocation", place).start()
+        try:
+            while True:
+                ended = not q.isActive or self.cancelled or reached.is_set()
+                try:
+                    yield from waiting.get(timeout=0.05 if ended else 0.2).to_batches(rows)
+                except queue.Empty:
+                    if ended:
+                        break
+            if not self.cancelled and not reached.is_set() and (error := q.exception()):
+                raise error
+        finally:
+            q.stop()
 
     def show(self, n: int = 20) -> None:
         self.df.show(n, truncate=False)
 
+    def progress(self) -> dict[str, Any]:
+        """Of a running stream: rows read, the watermark and rows dropped as late so far; nothing before its first batch."""
+        last = self._query.lastProgress if self._query is not None else None
+        if not last:
+            return {}
+        state = last["stateOperators"] or []
+        return {"batch": last["batchId"], "rows": sum(p["numInputRows"] for p in self._query.recentProgress), "watermark": (last["eventTime"] or {}).get("watermark"), "late_rows": sum(o["numRowsDroppedByWatermark"] for o in state)}
+
     def cancel(self) -> None:
+        """Stop the query where it runs: its stream, or the jobs that carry its tag; later runs fail."""
+        self.cancelled = True
+        if self._query is not None:
+            self._query.stop()
         self.df.sparkSession.interruptTag(self.tag)
 
     def _repr_html_(self) -> str:
         return self.df.limit(20).toPandas().to_html(index=False)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; FALLBACK_DIR in local mode only, where every task is on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise EngineError("INVALID_PARAMETER", "set spark.checkpoint.dir to a folder that all executors reach")
+    return (named or FALLBACK_DIR).rstrip("/")
+
+
 def connect(spark: SparkSession, catalog: str = ":memory:", task_models: dict[str, runtime.Model] | None = None) -> Session:
     return Session(spark, Catalog(catalog), task_models)
 
@@ -93,7 +177,7 @@ class Session:
         s = statements.parse(text.strip().rstrip(";"))
         snapshot = self.catalog.snapshot()
         if s.kind == "QUERY":
-            return QueryHandle(self.plan(s.sql, snapshot))
+            return QueryHandle(*self._planned(s.sql, snapshot))
         return getattr(self, "_" + s.kind.lower().replace(" ", "_"))(s, snapshot)
 
     def _result(self, message: str) -> QueryHandle:
@@ -107,6 +191,15 @@ class Session:
 
     # planning
 
+    def _planned(self, sql: str, snapshot: Snapshot) -> tuple[DataFrame, sink.Limit | None]:
+        """A query, and over a stream its LIMIT and OFFSET at the top, which the plan then lacks."""
+        if any(e.body["provider"] == "RTSP" for e in snapshot.all("TABLE")) and (cut := normalise.top_limit(sql)):
+            df = self.plan(cut[0], snapshot, check=False)
+            if df.isStreaming:
+                validate.validate(df)
+                return df, sink.Limit(cut[1], cut[2])
+        return self.plan(sql, snapshot), None
+
     def plan(self, sql: str, snapshot: Snapshot, check: bool = True) -> DataFrame:
         """A query over the tables, models and functions of a snapshot."""
         sql = self._model_calls(normalise.expand_macros(sql, self._macros(snapshot)), snapshot)
@@ -170,7 +263,10 @@ class Session:
             raise EngineError("OBJECT_NOT_FOUND", f"model '{e.name}:{version}' does not exist")
         if not v["fingerprint"]:
             raise EngineError("MODEL_NOT_RESOLVED", f"model '{e.name}:{version}' is not resolved")
-        return _model(e.name, e.body, version)
+        m = _model(e.name, e.body, version)
+        if m.fingerprint != v["fingerprint"]:
+            raise EngineError("MODEL_NOT_RESOLVED", f"the artifact of model '{e.name}:{version}' has changed since it was resolved")
+        return m
 
     def _model_calls(self, sql: str, snapshot: Snapshot) -> str:
         """Calls of models and tasks. A mock becomes its expression; another runtime a hidden column of a derived table, one for equal calls."""
@@ -439,15 +535,22 @@ class Session:
         e = snapshot.get("TABLE", s.name)
         if e.body["provider"] != "KAFKA":
             raise EngineError("SINK_FAILED", f"table {s.name!r} can't be written")
-        df = self.plan(s.parts["query"], snapshot)
+        df, limit = self._planned(s.parts["query"], snapshot)
         sink.match_columns(df.schema, _sink_schema(e))
         rows = sink.json_rows(df.toDF(*[n for n, _ in e.body["columns"]]))
         o = e.body["options"]
         options = sink.kafka_options(str(o.get("brokers", o.get("bootstrap_servers", ""))), str(o["topic"]), int(o.get("delivery_timeout_ms", 30_000)), int(o.get("buffer_capacity", 1024)))
+        options |= {k: str(v) for k, v in o.items() if k == "path"}
         if df.isStreaming:
             place = self._job or self._job_folder(f"insert-{s.name}", s.parts["query"])
-            writer = rows.writeStream.format(self.sink_format).option("checkpointLocation", place)
-            return QueryHandle(writer.options(**options | {k: str(v) for k, v in o.items() if k == "path"}).start())
+            if limit is None:
+                return QueryHandle(rows.writeStream.format(self.sink_format).option("checkpointLocation", place).options(**options).start())
+            if self._job:
+                raise EngineError("UNSUPPORTED_QUERY", "a job goes on without end; LIMIT goes with INSERT alone")
+            write = sink.for_each(lambda batch, _: batch.write.format(self.sink_format).options(**options).mode("append").save(), limit)
+            started = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}-{time.time_ns()}").start()
+            threading.Thread(target=_stop_when_done, args=(started, limit), daemon=True).start()
+            return QueryHandle(started)
         rows.write.format(self.sink_format).options(**options).save()
         return self._result(f"inserted into '{s.name}'")
 
@@ -467,8 +570,7 @@ class Session:
 
     def _job_folder(self, name: str, query: str) -> str:
         """Where a continuous INSERT keeps its checkpoint: the shared folder, the same for the same name and query."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
-        return f"{base.rstrip('/')}/jobs/{name}-{hashlib.md5(query.encode()).hexdigest()[:16]}"
+        return f"{checkpoint_folder(self.spark)}/jobs/{name}-{hashlib.md5(query.encode()).hexdigest()[:16]}"
 
     def _follow_jobs(self) -> Snapshot:
         """The catalog after jobs whose streaming query has ended are marked so."""
@@ -494,6 +596,12 @@ class Session:
         return self._rows([("name", e.name), ("state", e.body["state"]), ("sql", e.body["sql"]), ("terminal", str(e.body["state"] in TERMINAL).lower())], "property:s value:s")
 
 
+def _stop_when_done(q, limit: sink.Limit) -> None:
+    while q.isActive and not limit.done:
+        time.sleep(0.1)
+    q.stop()
+
+
 def _model(name: str, body: dict[str, Any], version: str) -> runtime.Model:
     v = body["versions"][version]
     kinds = tuple(types.FUNCTION_TYPES[k.upper()] for _, k in body["arguments"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ def image_size(head: bytes | None) -> tuple[int, int, str] | None:
     """(width, height, encoding) from the opening bytes of a PNG or JPEG; None if they can't be told."""
     if not head:
         return None
-    if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR":
+    if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR" and len(head) >= 24:
         w, h = struct.unpack(">II", head[16:24])
         return w, h, "png"
     if head[:2] == b"\xff\xd8":
@@ -82,7 +83,16 @@ def _image(uri: Column, place: Column, pts: Column, frame: Column, encoded: Colu
 
 
 class ManifestDecoder:
-    """Decoder of clips described in JSON: {"pts_ms": [...], "fps": ..., "width": ..., "height": ..., "codec": ...} after an optional magic line."""
+    """Decoder of clips described in JSON: {"pts_ms": [...], "fps": ..., "width": ..., "height": ..., "codec": ...}, and "frames", a
+    base64 PNG for each entry of pts_ms, where the clip has pixels. Another decoder has the same two methods; DECODER names the one in use."""
+
+    def frame(self, content: bytes, pts_ms: int) -> bytes:
+        """The encoded frame at a presentation time."""
+        m = self.probe(content)
+        try:
+            return base64.b64decode(m["frames"][m["pts_ms"].index(pts_ms)])
+        except (KeyError, ValueError, IndexError):
+            raise EngineError("MEDIA_DECODE_FAILED", f"the clip has no frame at {pts_ms} ms") from None
 
     def probe(self, content: bytes) -> dict:
         try:
@@ -91,6 +101,26 @@ class ManifestDecoder:
             raise EngineError("MEDIA_DECODE_FAILED", "no decoder for this clip") from None
 
 
+DECODER = ManifestDecoder()
+_CLIPS: dict[str, bytes] = {}
+
+
+def frame(uri: str, pts_ms: int) -> bytes:
+    """The encoded frame of a clip, which a worker reads where a model needs it; the last clip stays open."""
+    if uri not in _CLIPS:
+        _CLIPS.clear()
+        if "://" in uri and not uri.startswith("file://"):
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(uri)
+            with system.open_input_stream(path) as f:
+                _CLIPS[uri] = f.read()
+        else:
+            with open(uri.removeprefix("file://"), "rb") as f:
+                _CLIPS[uri] = f.read()
+    return DECODER.frame(_CLIPS[uri], pts_ms)
+
+
 def videos(spark: SparkSession, location: str, recursive: bool = False, fps: float = DEFAULT_FPS, start_time_ms: int | None = None, decoder: ManifestDecoder | None = None, generation: int = 1, rebased: tuple[int, int] | None = None) -> DataFrame:
     """VIDEOS: one row per sampled frame, one task per clip or more clips. ts is start_time (epoch by default) plus pts.
 
@@ -99,7 +129,7 @@ def videos(spark: SparkSession, location: str, recursive: bool = False, fps: flo
     """
     if not fps > 0:
         raise EngineError("INVALID_PARAMETER", "fps must be positive")
-    decoder, zero = decoder or ManifestDecoder(), start_time_ms or 0
+    decoder, zero = decoder or DECODER, start_time_ms or 0
     lo, hi = (rebased[0] - zero, rebased[1] - zero) if rebased else (None, None)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

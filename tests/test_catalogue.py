@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from framewright.plans import catalogue
+from framewright.plans import catalogue, engine
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,7 +37,7 @@ def rows(t):
     return names, sorted((str([plain(x) for x in r]) for r in zip(*[t.column(n).to_pylist() for n in names], strict=True)))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(engine.QUERIES))
 def test_equals_sql(name, spark, duck):
     got = rows(catalogue.QUERIES[name](spark, SF).toArrow())
     if name in catalogue.ORACLES:
