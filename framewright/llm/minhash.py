@@ -7,6 +7,8 @@ probing order that is filled, and the low-order bits are packed as hexadecimal d
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ WORDS_PER_SHINGLE = 5
 BINS = 128
 #: Low-order bits kept of each bin, a multiple of four.
 BITS = 8
-#: doc_id ranges in which each row is set beside the next: four for each shuffle partition, at most these.
-RANGES = 4_000
+#: doc_id ranges in which each row is set beside the next: four for each shuffle partition at least, and one for each of these bytes of the table's size.
+RANGE_BYTES = 64 << 20
 
 
 def shingle_words(text: Column) -> Column:
@@ -91,12 +93,10 @@ def _key(c: str = "doc_id") -> Column:
     return F.coalesce(F.col(c), F.lit(-(1 << 63)))
 
 
-def _range_sql(ends: list[int], low: int = 0) -> str:
-    """Balanced comparisons that number the range of __fw_key: the first whose upper end is not below it."""
-    if len(ends) == 1:
-        return str(low)
-    mid = len(ends) // 2
-    return f"CASE WHEN __fw_key <= {_sql_long(ends[mid - 1])} THEN {_range_sql(ends[:mid], low)} ELSE {_range_sql(ends[mid:], low + mid)} END"
+def _range_of(key: Column, table: Column, n: int) -> Column:
+    """Number of the range of a key, by binary search in the constant array of the n ranges' upper ends: the first that is not below it."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step <= n) & (F.get(table, lo + step - 1) < key), lo + step).otherwise(lo))
 
 
 def with_next(docs: DataFrame, columns: dict[str, str], ids: DataFrame) -> DataFrame:
@@ -104,14 +104,17 @@ def with_next(docs: DataFrame, columns: dict[str, str], ids: DataFrame) -> DataF
 
     columns: a column's name -> its name as the next row's. ids: the same doc_id values, read for the ranges alone. Rows are dealt by ranges of doc_id whose upper
     ends are ids of the table, so the first row of a range is known and a copy of it closes the range
-    before. One shuffle; no task sees more than a range.
+    before. One shuffle; no task sees more than a range, but rows of one doc_id, or of none, share one.
     """
-    n = min(RANGES, max(1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    leaves = ids._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))  # of files; about 2 ** 63 where it isn't known
+    n = max(1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES if size < 1 << 60 else 0)
     ends, top = ids.agg(F.percentile_approx(_key(), [k / n for k in range(1, n + 1)], 20 * n), F.max(_key())).first()
-    ends = sorted({*(ends or []), *([top] if top is not None else [])}) or [0]  # one number a range, RANGES at most
-    keyed = docs.withColumn("__fw_key", _key()).withColumn("__fw_range", F.expr(_range_sql(ends)))
-    last = F.lit(len(ends))
-    is_first = F.expr(f"__fw_key IN ({','.join(map(_sql_long, ends))})")
+    ends = sorted({*(ends or []), *([top] if top is not None else [])}) or [0]  # one number a range
+    keyed = docs.withColumn("__fw_key", _key())
+    table = F.from_json(F.lit(json.dumps(ends)), "array<bigint>")
+    keyed = keyed.withColumn("__fw_range", F.explode(F.array(_range_of(F.col("__fw_key"), table, len(ends)))))
+    last, is_first = F.lit(len(ends)), F.get(table, F.col("__fw_range")) == F.col("__fw_key")
     here = F.struct(F.col("__fw_range").alias("r"), F.lit(0).alias("copy"))
     before = F.struct(F.pmod(F.col("__fw_range") + 1, last).cast("int").alias("r"), F.lit(1).alias("copy"))
     dealt = keyed.withColumn("__fw_at", F.explode(F.when(is_first, F.array(here, before)).otherwise(F.array(here))))
@@ -119,10 +122,6 @@ def with_next(docs: DataFrame, columns: dict[str, str], ids: DataFrame) -> DataF
     return dealt.select("*", *[F.lead(c).over(order).alias(name) for c, name in columns.items()]).where("__fw_at.copy = 0").drop("__fw_at", "__fw_range", "__fw_key")
 
 
-def _sql_long(x: int) -> str:
-    return "(-9223372036854775807L - 1L)" if x == -(1 << 63) else f"{x}L"
-
-
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text: its last half replaced by the opening of the next document.
 
