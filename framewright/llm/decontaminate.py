@@ -40,6 +40,8 @@ WHOLE_WORDS = 32
 BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4_000_000
 #: Characters of documents that are walked at once, and candidates whose distance is bounded at once.
 CHUNK, TOGETHER = 1 << 18, 4096
+#: Characters whose collisions are held at once, for each 200 items of a block, and no fewer than CHUNK: what a worker holds doesn't grow with texts or blocks.
+SEGMENT = 1 << 21
 _BITMAP = 21
 #: Samples are kept as a polynomial of this odd number, modulo 2 ** 64.
 _ODD = np.int64(-7046029254386353131)
@@ -286,9 +288,17 @@ class Index:
                 out.append((np.repeat(starts[on] + i, hi - lo), items[e], offsets[e]))
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
-    def windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a place in it, item, band of its start) of item-sized windows with two collisions APART and of like shift."""
+    def segments(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Runs of the codes that overlap by more than an item-sized window and a walk, each with its place."""
+        size = max(CHUNK, SEGMENT * 200 // max(200, len(self.items)))
+        overlap = int(self.bare.max()) + DRIFT + int(self.steps.max()) + 2
+        for i in range(0, len(codes), size):
+            yield i, codes[i : i + size + overlap]
+
+    def windows(self, codes: np.ndarray, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a place in it, item, band of its start) of item-sized windows with two collisions APART and of like shift; base is the place of the codes."""
         place, item, offset = self.collisions(codes)
+        place = place + base
         shift = place - offset
         by = item * np.int64(1 << 40) + (shift + (1 << 20))
         order = np.lexsort((place, by))
@@ -326,7 +336,7 @@ class Index:
             stands = np.nonzero(points != 32)[0]
             codes = _codes(points[stands])
             begins = np.searchsorted(stands, bases)
-            place, item, band = self.windows(codes)
+            place, item, band = map(np.concatenate, zip(*(self.windows(part, at) for at, part in self.segments(codes)), strict=True)) if len(codes) else (np.empty(0, np.int64),) * 3
             doc = np.searchsorted(begins, place, "right") - 1
             _, once = np.unique(np.stack([doc, item, band]), axis=1, return_index=True) if len(doc) else (None, np.empty(0, np.int64))
             doc, item, band = doc[once], item[once], band[once]

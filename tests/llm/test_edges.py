@@ -67,7 +67,8 @@ def test_documents(name, spark, docs, labels, benchmark, trees):
     if name in ("tokens", "fields", "packing"):
         assert set(ids) == {r[0] for r in rows()}
     assert run(docs.where("false")).collect() == []
-    assert run(docs.where("doc_id is null or text is null")).count() >= 0
+    few = [r.doc_id for r in run(docs.where("doc_id is null or text is null")).collect()]
+    assert set(few) == ({None, 20} if name in (*WHOLE, "tokens", "fields", "packing") else set())
 
 
 @pytest.mark.parametrize("k", range(5))
@@ -97,7 +98,7 @@ def test_pages(spark):
     w = warc.round_trip(p).collect()
     assert sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in w) == sorted(
         [(False, 1, "response", None, len(big)), (False, 2, "revisit", 1, len(big)), (False, 2, "revisit", 1, len(big)), (True, 0, "revisit", 1, len(big)), (False, 3, "response", None, 0), (False, 4, "response", None, 0), (False, 5, "response", None, 9), (False, 6, "response", None, 9)], key=lambda r: (r[0], r[1])
-    ) or len(w) == 8
+    )
     assert html.extract(p.where("false")).collect() == [] and warc.round_trip(p.where("false")).collect() == []
 
 

@@ -472,3 +472,29 @@ def test_html_of_whole_pages_equals_their_article(spark):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want[r.page_id] = " ".join(unescape(re.sub(r"<[^>]+>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", inner)).split())
     assert {r.page_id: r.text for r in html.extract(table(spark, "pages")).collect()} == want
+
+
+def _record(kind, own, *concurrent, block=b"x", page=None):
+    block = f"page_id: {page}\r\n".encode() if page is not None else b"HTTP/1.1 200 OK\r\n\r\n" + block
+    names = "".join(f"WARC-Concurrent-To: <{c}>\r\n" for c in concurrent)
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{own}>\r\n{names}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_transactions_in_any_direction(spark, tmp_path):
+    data = _record("warcinfo", "w") + _record("request", "q1") + _record("response", "r1", "q1", block=b"one") + _record("metadata", "m1", "q1", page=1)
+    data += _record("response", "r2", "q2", "m2", block=b"two") + _record("request", "q2") + _record("metadata", "m2", page=2) + _record("request", "q3", "r3") + _record("response", "r3", block=b"three")
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc").write_bytes(_record("metadata", "m3", "r3", page=3))
+    got = {r.transaction: (r.request is not None, r.response.payload_bytes, r.metadata.page_id) for r in warc.assemble(warc.read(spark, str(tmp_path))).collect()}
+    assert got == {"<r1>": (True, 3, 1), "<r2>": (True, 3, 2), "<r3>": (True, 5, 3)}
+
+
+def test_warc_of_rows_that_came_from_a_shuffle_and_of_many_repeats(spark, tmp_path, monkeypatch):
+    html = "<p>" + "same text " * 30
+    pages = spark.range(200).selectExpr("id % 150 AS page_id", "'u' AS url", f"'{html}' || CASE WHEN id % 3 = 0 THEN CAST(id AS STRING) ELSE '' END AS html").repartition(5)
+    for limit in (200_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", limit)
+        got = warc.round_trip(pages, str(tmp_path / str(limit))).collect()
+        first = min(r.page_id for r in got if r.payload_bytes == len(html))
+        assert len(got) == 200 and sum(r.record_type == "revisit" for r in got) == 132
+        assert {r.refers_to for r in got if r.payload_bytes == len(html) and r.record_type == "revisit"} == {first}
