@@ -193,7 +193,16 @@ def classify_multi(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("vec_id", F.size(detection.classify(F.col("full"), CLASSES, CLASSES, "multi", 0.5)).cast("long").alias("n"))
 
 
-@query("nms_greedy")
+def _overlap(axis: str, size: float) -> str:
+    return f"greatest(0, least(k.{axis}, c[1].{axis}) + {size} - greatest(k.{axis}, c[1].{axis}))"
+
+
+SHARED = f"{_overlap('x', 0.3)} * {_overlap('y', 0.3)}"
+
+
+@query("nms_greedy", f"""SELECT l_orderkey, CAST(len(b) AS INT) AS n, CAST(len(list_reduce(list_transform(b, lambda x: [x]), lambda kept, c:
+  CASE WHEN len(list_filter(kept, lambda k: k.label = c[1].label AND {SHARED} / (0.18 - {SHARED}) >= 0.45)) > 0 THEN kept ELSE list_concat(kept, c) END)) AS INT) AS kept
+FROM (SELECT l_orderkey, list({{'label': l_linenumber % 2, 'x': l_discount * 2, 'y': l_tax * 4}} ORDER BY CAST(l_quantity / 51 AS FLOAT) DESC, l_linenumber, l_discount, l_tax) AS b FROM lineitem GROUP BY l_orderkey)""")
 def nms_greedy(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem")
     b = spatial.box(F.col("l_discount") * 2, F.col("l_tax") * 4, F.lit(0.3), F.lit(0.3))

@@ -212,7 +212,7 @@ def python_function_session(spark: SparkSession, d: str) -> DataFrame:
 REJECTED = [
     ("UPDATE t SET a = 1", "INVALID_SQL"), ("CREATE INDEX i", "FEATURE_NOT_AVAILABLE"), ("CREATE AGGREGATE a", "FEATURE_NOT_AVAILABLE"), ("CREATE TABLE t AS SELECT 1", "FEATURE_NOT_AVAILABLE"), ("DROP TABLE none", "OBJECT_NOT_FOUND"),
     ("SET fw.other = 1", "INVALID_PARAMETER"), ("CREATE TABLE t (a INT) USING IMAGES LOCATION 'x'", "INVALID_SQL"), ("PAUSE JOB j", "FEATURE_NOT_AVAILABLE"), ("EXPLAIN ANALYZE SELECT 1", "FEATURE_NOT_AVAILABLE"),
-    ("CREATE TABLE cam USING RTSP OPTIONS (url = 'rtsp://u:p@x/live')", "INVALID_PARAMETER"), ("INSERT INTO t (a) SELECT 1", "INVALID_SQL"), ("SELECT __fw_x FROM (SELECT 1 AS a)", "INVALID_SQL"), ("SELECT AI_EXTRACT(1, 'x')", "FEATURE_NOT_AVAILABLE"),
+    ("CREATE TABLE cam USING RTSP OPTIONS (url = 'rtsp://u:p@x/live')", "INVALID_PARAMETER"), ("INSERT INTO t (a) SELECT 1", "INVALID_SQL"), ("SELECT __fw_x FROM (SELECT 1 AS a)", "INVALID_SQL"), ("SELECT AI_EXTRACT(1, MAP {'a': 'what?'})", "FEATURE_NOT_AVAILABLE"), ("SELECT AI_EXTRACT(1, 'x')", "INVALID_PARAMETER"), ("SELECT AI_EXTRACT(NULL, MAP {'a': 'b', 'A': 'c'})", "INVALID_PARAMETER"),
     ("SELECT 1 AS k QUALIFY k > 0", "INVALID_SQL"), ("CREATE FUNCTION f(x BIGINT) RETURNS IMAGE LANGUAGE PYTHON AS 'no_colon'", "INVALID_SQL"),
 ]
 
@@ -255,6 +255,14 @@ def sink_schemas(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(out, "columns string, symbol string")
 
 
+_ANSWER = "struct<value:string,score:float,locator:struct<char_span:struct<start:int,end:int>,box:struct<x:float,y:float,w:float,h:float>>>"
+
+
+@query("extract_typed_null", values("kind, missing", [(f"struct<total:{_ANSWER},items:array<{_ANSWER}>>", True)]))
+def extract_typed_null(spark: SparkSession, d: str) -> DataFrame:
+    return _connect(spark).sql("SELECT typeof(x) AS kind, x IS NULL AS missing FROM (SELECT AI_EXTRACT(NULL, fields => MAP {'Total': 'What is the total?', 'items': STRUCT('List the items' AS question, TRUE AS list)}) AS x) e").df
+
+
 # clauses
 
 def through_session(name: str, text: str, oracle: str, *tables: str) -> None:

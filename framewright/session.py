@@ -281,7 +281,9 @@ class Session:
             inputs, named = [], {}
             for a, b in lexer.arguments(ts, hit + 1, end):
                 said = sql[ts[a].at : ts[b - 1].at + len(ts[b - 1].text)]
-                if b - a > 2 and ts[a + 1].text == "=>":
+                if b - a > 2 and ts[a + 1].text == "=>" and ts[hit].upper.endswith("_EXTRACT"):
+                    named[ts[a].value] = sql[ts[a + 2].at : ts[b - 1].at + len(ts[b - 1].text)]
+                elif b - a > 2 and ts[a + 1].text == "=>":
                     named[ts[a].value] = statements.Parser(sql[ts[a + 2].at : ts[b - 1].at + len(ts[b - 1].text)]).constant()
                 else:
                     inputs.append(said)
@@ -312,8 +314,12 @@ class Session:
 
     def _task(self, task: str, inputs: list[str], named: dict[str, Any], hidden: dict[str, tuple[str, str]]) -> str:
         if task == "EXTRACT":
-            if inputs and inputs[0].upper() == "NULL":
-                return "CAST(NULL AS STRING)"
+            given = dict(zip(("input", "fields"), inputs, strict=False)) | named
+            if len(inputs) + len(named) != len(given) or set(given) != {"input", "fields"}:
+                raise EngineError("INVALID_PARAMETER", "extraction takes an input and fields; for boxes of classes use the DETECT task")
+            kind = _extraction_type(given["fields"])
+            if given["input"].upper() == "NULL":
+                return f"CAST(NULL AS {kind})"
             raise EngineError("FEATURE_NOT_AVAILABLE", "extraction has no runtime")
         m = self.task_models.get(task.lower())
         if m is None:
@@ -632,6 +638,32 @@ def _kept_sql(found: str, classes: list[str] | None, least: float | None) -> str
     return f"filter({found}, d -> {' AND '.join(tests)})" if tests else found
 
 
+#: What extraction answers to one question.
+ANSWER = "STRUCT<value: STRING, score: FLOAT, locator: STRUCT<char_span: STRUCT<start: INT, end: INT>, box: STRUCT<x: FLOAT, y: FLOAT, w: FLOAT, h: FLOAT>>>"
+
+
+def _extraction_type(fields: str) -> str:
+    """Type of an extraction's result, of MAP {'field': 'question' or STRUCT('question' AS question, TRUE AS list), ...}."""
+    ts = lexer.tokens(fields)
+    if len(ts) < 4 or ts[0].upper != "MAP" or ts[1].text != "{" or lexer.closing(ts, 1) != len(ts) - 1:
+        raise EngineError("INVALID_PARAMETER", "fields are MAP {'field': descriptor, ...}")
+    out: dict[str, str] = {}
+    for a, b in lexer.arguments(ts, 1, len(ts) - 1):
+        name, said = ts[a].value.lower(), ts[a + 2 : b]
+        if b - a < 3 or ts[a].kind != "string" or ts[a + 1].text != ":" or not re.fullmatch(r"[a-z_][a-z0-9_]*", name) or name in out:
+            raise EngineError("INVALID_PARAMETER", f"not a field of its own: {ts[a].text}")
+        question, many = None, False
+        if len(said) == 1 and said[0].kind == "string":
+            question = said[0].value
+        members = {said[k + 2].value.lower(): said[k] for k in range(2, len(said) - 2, 4) if said[k + 1].upper == "AS"} if said[0].upper == "STRUCT" else {}
+        if set(members) == {"question", "list"} and members["question"].kind == "string" and members["list"].upper in ("TRUE", "FALSE"):
+            question, many = members["question"].value, members["list"].upper == "TRUE"
+        if not question:
+            raise EngineError("INVALID_PARAMETER", f"field {name!r} takes 'question' or STRUCT('question' AS question, TRUE AS list)")
+        out[name] = f"ARRAY<{ANSWER}>" if many else ANSWER
+    return f"STRUCT<{', '.join(f'{n}: {t}' for n, t in out.items())}>"
+
+
 def _contains_sql(area: str, p: str) -> str:
     """ST_CONTAINS in SQL, by the rule of functions.spatial.st_contains."""
     a, b = "e.a", "e.b"

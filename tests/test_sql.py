@@ -104,7 +104,7 @@ def test_tasks(s):
     (none,), = rows(s.sql("SELECT AI_DETECT(named_struct('uri', 'a', 'width', 0, 'height', 480)) AS d"))
     assert none[0]["locator"] is None
     assert rows(s.sql("SELECT AI_CLASSIFY(named_struct('uri', 'a'), ['dog', 'cat']) AS c")) == [([{"label": "cat", "score": 1.0}],)]
-    for text in ("SELECT AI_CLASSIFY(1, ['bird'])", "SELECT AI_CLASSIFY(1, [])", "SELECT AI_CLASSIFY(1, ['cat'], min_score => 0.1)", "SELECT AI_EXTRACT(1, 'x')"):
+    for text in ("SELECT AI_CLASSIFY(1, ['bird'])", "SELECT AI_CLASSIFY(1, [])", "SELECT AI_CLASSIFY(1, ['cat'], min_score => 0.1)", "SELECT AI_EXTRACT(1, MAP {'a': 'what?'})"):
         with pytest.raises(EngineError):
             s.sql(text)
 
@@ -191,3 +191,38 @@ def test_stream_tumble(query, want):
     from framewright.plans.normalise import stream_tumble
 
     assert stream_tumble(query) == want
+
+
+def test_shell(s, tmp_path):
+    import io
+
+    from framewright.__main__ import run
+
+    out = io.StringIO()
+    assert run(s, "CREATE FUNCTION twice(x BIGINT) RETURN x * 2; SELECT twice(21) AS v, NULL AS w; -- done", out)
+    assert out.getvalue().splitlines() == ["created function 'twice'", "42\tNULL"]
+    assert not run(s, "SELECT 1 AS a; DROP TABLE none; SELECT 2 AS a", out) and "2" != out.getvalue().splitlines()[-1]
+
+
+def test_cancel_and_changed_artifacts(s, spark, tmp_path):
+    from framewright.models import graphs
+
+    s.sql("CREATE TABLE cam USING RTSP OPTIONS (url = 'rtsp://replay', rows = 100000, rowsPerBatch = 50, fps = 10)")
+    handle, seen = s.sql("SELECT frame_id FROM cam"), 0
+    for b in handle.stream():
+        seen += b.num_rows
+        if seen >= 100:
+            assert handle.progress()["rows"] >= 50
+            handle.cancel()
+    assert seen >= 100 and not handle._query.isActive
+    bounded = s.sql("SELECT 1 AS a")
+    bounded.cancel()
+    with pytest.raises(EngineError, match="cancelled"):
+        bounded.collect()
+    path = tmp_path / "m.onnx"
+    path.write_bytes(graphs.graph([("Neg", ["x"], ["y"])], {"x": ["n"]}, {"y": ["n"]}))
+    s.run_script(f"CREATE MODEL neg (x FLOAT) RETURNS FLOAT VERSION 'v1' FROM '{path}' USING ONNX_RUNTIME; RESOLVE MODEL neg")
+    assert rows(s.sql("SELECT neg(v) AS n FROM (SELECT 2F AS v) t")) == [(-2.0,)]
+    path.write_bytes(graphs.graph([("Abs", ["x"], ["y"])], {"x": ["n"]}, {"y": ["n"]}))
+    with pytest.raises(EngineError, match="changed"):
+        s.sql("SELECT neg(v) AS n FROM (SELECT 2F AS v) t")
