@@ -8,10 +8,15 @@ probing order that is filled, and the low-order bits are packed as hexadecimal d
 from __future__ import annotations
 
 import json
+from collections import Counter
+from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORDS_PER_SHINGLE = 5
 #: Bins, a power of two.
 BINS = 128
@@ -99,37 +104,66 @@ def _range_of(key: Column, table: Column, n: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda lo, step: F.when((lo + step <= n) & (F.get(table, lo + step - 1) < key), lo + step).otherwise(lo))
 
 
-def with_next(docs: DataFrame, columns: dict[str, str], ids: DataFrame) -> DataFrame:
-    """Each row with columns of the next row, descending doc_id (null last, ties by text); after the last the first.
+def with_next(base: DataFrame, finish: Callable[[DataFrame], DataFrame], columns: dict[str, str]) -> DataFrame:
+    """finish(base), each row with columns of the next row, descending doc_id (null last, ties in an order of their texts); after the last the first.
 
-    columns: a column's name -> its name as the next row's. ids: the same doc_id values, read for the ranges alone. Rows are dealt by ranges of doc_id whose upper
-    ends are ids of the table, so the first row of a range is known and a copy of it closes the range
-    before. One shuffle; no task sees more than a range, but rows of one doc_id, or of none, share one.
+    base: doc_id and text; finish adds columns. columns: a column's name -> its name as the next row's. Rows are dealt by ranges
+    of doc_id whose upper ends are ids of the table, so the first row of a range is known and a copy of it closes the range
+    before. A doc_id that fills several ranges (or null ids that do) has as many, by hash of the text, each closed by the first
+    row of the next. One shuffle; no task sees more than a range, unless rows agree in doc_id and text.
     """
-    leaves = ids._jdf.queryExecution().analyzed().collectLeaves()
+    leaves = base._jdf.queryExecution().analyzed().collectLeaves()
     size = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))  # of files; about 2 ** 63 where it isn't known
-    n = max(1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES if size < 1 << 60 else 0)
-    ends, top = ids.agg(F.percentile_approx(_key(), [k / n for k in range(1, n + 1)], 20 * n), F.max(_key())).first()
-    ends = sorted({*(ends or []), *([top] if top is not None else [])}) or [0]  # one number a range
-    keyed = docs.withColumn("__fw_key", _key())
-    table = F.from_json(F.lit(json.dumps(ends)), "array<bigint>")
-    keyed = keyed.withColumn("__fw_range", F.explode(F.array(_range_of(F.col("__fw_key"), table, len(ends)))))
-    last, is_first = F.lit(len(ends)), F.get(table, F.col("__fw_range")) == F.col("__fw_key")
-    here = F.struct(F.col("__fw_range").alias("r"), F.lit(0).alias("copy"))
-    before = F.struct(F.pmod(F.col("__fw_range") + 1, last).cast("int").alias("r"), F.lit(1).alias("copy"))
-    dealt = keyed.withColumn("__fw_at", F.explode(F.when(is_first, F.array(here, before)).otherwise(F.array(here))))
+    n = max(1, 4 * int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES if size < 1 << 60 else 0)
+    found, top = base.select("doc_id").agg(F.percentile_approx(_key(), [k / n for k in range(1, n + 1)], 20 * n), F.max(_key())).first()  # one number a range
+    times = Counter(found or [])
+    ends = sorted({*times, *([top] if top is not None else [])}) or [0]
+    hot = [k for k in ends if times[k] > 1]
+    table, parts = _constant(ends), _constant([max(1, times[k]) for k in ends])
+    keyed = base.withColumn("__fw_key", _key()).withColumn("__fw_end", F.explode(F.array(_range_of(F.col("__fw_key"), table, len(ends)))))
+    at_end = F.get(table, F.col("__fw_end")) == F.col("__fw_key")
+
+    def part(of: Column) -> Column:
+        return F.when(at_end & (F.get(of, F.col("__fw_end")) > 1), F.pmod(F.xxhash64("text"), F.get(of, F.col("__fw_end")))).otherwise(F.lit(0)).cast("int")
+
+    heads = None
+    if hot:
+        heads = cut(keyed.where(F.col("__fw_key").isin(hot)).groupBy("__fw_end", part(parts).alias("part")).agg(F.min("text").alias("text")))
+        seen = Counter(r[0] for r in heads.select("__fw_end").collect())  # one number a range
+        spread = {k for k, end in enumerate(ends) if times[end] > 1 and seen[k] == times[end]}  # a part without rows has no first row: such an id stays whole
+        sizes = [times[end] if k in spread else 1 for k, end in enumerate(ends)]
+        heads = heads.where(F.col("__fw_end").isin(list(spread)))
+    else:
+        sizes = [1] * len(ends)
+    begins, parts, total = _constant([0, *accumulate(sizes)][:-1]), _constant(sizes), sum(sizes)
+    own = F.get(begins, F.col("__fw_end"))
+
+    def place(r: Column, copy: int) -> Column:
+        return F.struct(F.pmod(r + copy, F.lit(total)).cast("int").alias("r"), F.lit(copy).alias("copy"))
+
+    here = own + part(parts)
+    known = at_end & (F.get(parts, F.col("__fw_end")) == 1)
+    dealt = finish(keyed.withColumn("__fw_at", F.when(known, F.array(place(here, 0), place(here, 1))).otherwise(F.array(place(here, 0)))))
+    dealt = dealt.withColumn("__fw_at", F.explode("__fw_at"))
+    if heads is not None:
+        first = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.get(table, F.col("__fw_end")).alias("__fw_key"), "__fw_end", F.array(place(own + F.col("part"), 1)).alias("__fw_at"))
+        dealt = dealt.unionByName(finish(first).withColumn("__fw_at", F.explode("__fw_at")))
     order = Window.partitionBy("__fw_at.r").orderBy("__fw_at.copy", F.col("__fw_key").desc(), "text")
-    return dealt.select("*", *[F.lead(c).over(order).alias(name) for c, name in columns.items()]).where("__fw_at.copy = 0").drop("__fw_at", "__fw_range", "__fw_key")
+    return dealt.select("*", *[F.lead(c).over(order).alias(name) for c, name in columns.items()]).where("__fw_at.copy = 0").drop("__fw_at", "__fw_end", "__fw_key")
+
+
+def _constant(numbers: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(numbers)), "array<bigint>")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text: its last half replaced by the opening of the next document.
 
     Null texts count as empty. A text without words has the fingerprint '' (like itself, unlike any other).
-    Repeated rows follow each other; a null doc_id comes last; an empty table gives no rows.
+    Rows of one doc_id follow each other; a null doc_id comes last; an empty table gives no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = with_next(with_fingerprint(base, "text", "fingerprint"), {"text": "next_text", "fingerprint": "next_fingerprint"}, docs.select(F.col("doc_id").cast("long").alias("doc_id")))
+    both = with_next(base, lambda rows: with_fingerprint(rows, "text", "fingerprint"), {"text": "next_text", "fingerprint": "next_fingerprint"})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = (
         both.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -209,3 +209,20 @@ def test_runs_equal_brute_force():
         block = [sum(lengths[k : k + html.WINDOW]) for k in range(len(lengths))]
         want = {k for s, n in enumerate(lengths) if n and block[s] >= html.SURGE for k in range(s, len(lengths)) if all(block[s : k + 1])}
         assert {k for a, b in html.runs(lengths) for k in range(a, b)} == want
+
+
+def test_a_hot_id_is_dealt_into_ranges_and_rows_form_one_ring(spark):
+    """Half of the rows without an id, a third with one id: each row's next is another row, in one ring by falling id."""
+    from framewright.llm import minhash
+
+    rows = [(None, f"none {k}") for k in range(300)] + [(7, f"seven {k}") for k in range(200)] + [(k, f"own {k}") for k in range(20, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = minhash.with_next(docs, lambda d: d.withColumn("more", minhash.F.upper("text")), {"text": "after", "more": "more_after"})
+    got = {r.text: (r.doc_id, r.after, r.more_after) for r in found.collect()}
+    assert len(got) == 600 and all(m == a.upper() for _, a, m in got.values())
+    at, ring = "own 119", []
+    for _ in range(600):
+        ring.append(at)
+        at = got[at][1]
+    assert at == "own 119" and len(set(ring)) == 600
+    assert [t.split()[0] for t in ring] == ["own"] * 100 + ["seven"] * 200 + ["none"] * 300 and ring[:100] == [f"own {k}" for k in reversed(range(20, 120))]
