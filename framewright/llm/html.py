@@ -74,7 +74,7 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
     number of the innermost element of BOXES around it, 0 outside).
 
     An element that only its names mark as furniture still shows if no article or main stands outside such elements and
-    it holds most of the page's text, or an article or main with no less text than all that stands outside. The time is
+    it holds most of the page's text (that of readers' comments left out), or an article or main with no less text than all that stands outside. The time is
     linear in the page's length.
     """
     out: list[tuple[str, int, int, int, int]] = []
@@ -176,7 +176,10 @@ def _shown(found: list[tuple[str, int, int, int, int]], named: list[tuple[int, b
     free = [x for x in found if x[4] < 0]
     if any(x[2] for x in free):
         return free
-    total, outside = sum(len(t) - n for t, n, *_ in found), sum(len(t) - n for t, n, *_ in free)
+    readers: list[bool] = []  # stands in readers' comments
+    for around, comments in named:
+        readers.append(comments or around >= 0 and readers[around])
+    total, outside = sum(len(t) - n for t, n, _, _, m in found if m < 0 or not readers[m]), sum(len(t) - n for t, n, *_ in free)
     text, stated = [0] * len(named), [0] * len(named)
     for t, n, a, _, m in found:
         if m >= 0:

@@ -31,12 +31,12 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(k, 1, int(k == 1)) for k in range(12)] + [(None, 1, 1), (7, 1, None), (7, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame([(k, 1, int(k == 1)) for k in range(12)] + [(None, 1, 1), (7, 1, None), (7, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int").selectExpr("*", "'clash' AS text", "1 AS words", "2 AS score")
 
 
 @pytest.fixture(scope="module")
 def benchmark(spark):
-    return spark.createDataFrame([(1, rows()[5][1][:200]), (2, None), (3, ""), (4, "short one"), (1, rows()[5][1][:200])], "item_id long, text string")
+    return spark.createDataFrame([(1, rows()[5][1][:200]), (2, None), (3, ""), (4, "short one"), (1, rows()[5][1][:200])], "item_id long, text string").selectExpr("*", "item_id AS doc_id", "1 AS distance")
 
 
 @pytest.fixture(scope="module")

@@ -43,6 +43,10 @@ REFERENCES = "<ul>" + "<li><a href=x>A reference</a></li>" * 4 + "</ul>"
         (f"<div id=page class='no-sidebar'><p>{LINE}</p></div>", LINE), (f"<div class='layout sidebar-right'><article><p>{LINE}</p></article></div><p>Short</p>", f"{LINE} Short"),
         (f"<div><p>{LINE}</p></div><div class=comments><p>{OTHER * 9}</p></div>", LINE),
         (f"<p>{OTHER}</p><article><p>{LINE}</p></article>", f"{OTHER} {LINE}"),
+        (f"<nav>Home</nav><section class='post search-friendly'><p>{LINE}</p></section><div class=comments><p>{OTHER * 9}</p></div>", LINE),
+        (f"<table><tr><td><nav>{OTHER}</nav></td><td><p>{LINE}</p></td></tr></table><footer>{OTHER}</footer>", LINE),
+        (f"<article><p>{LINE}</p><div class=notice>{OTHER}</div><div class='ad'>{OTHER}</div><p>{LINE}</p></article>", f"{LINE} {LINE}"),
+        (f"<div role=navigation>{OTHER}</div><div role=main><p>{LINE}</p></div><div role=complementary>{OTHER}</div>", LINE),
     ],
 )
 def test_runs_that_are_kept(page, want):
