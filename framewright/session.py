@@ -578,6 +578,23 @@ class Session:
         """Where a continuous INSERT keeps its checkpoint: the shared folder, the same for the same name and query."""
         return f"{checkpoint_folder(self.spark)}/jobs/{name}-{hashlib.md5(query.encode()).hexdigest()[:16]}"
 
+    def resume_jobs(self) -> list[str]:
+        """Start again the jobs that the catalog calls running and that no query of this session runs, each from its checkpoint; their names."""
+        resumed = []
+        for e in self.catalog.snapshot().all("JOB"):
+            if e.body["state"] in ("STARTING", "RUNNING") and e.name not in self.jobs:
+                try:
+                    self._job = self._job_folder(e.name, e.body["sql"])
+                    self.jobs[e.name] = self.sql(e.body["sql"]).df
+                    self.catalog.move_job(e.name, "RUNNING")
+                    resumed.append(e.name)
+                except Exception as error:
+                    self.catalog.move_job(e.name, "FAILED", error=str(error)[:500])
+                    raise
+                finally:
+                    self._job = None
+        return resumed
+
     def _follow_jobs(self) -> Snapshot:
         """The catalog after jobs whose streaming query has ended are marked so."""
         for name, q in list(self.jobs.items()):

@@ -117,6 +117,12 @@ def test_jobs_run_and_stop(query, columns, want, spark, tmp_path):
     read = lambda: {tuple(json.loads(x).values()) for f in glob.glob(f"{tmp_path}/out/part-*") for x in open(f)}
     assert poll(lambda: want <= read()) and s.sql("SHOW JOBS").collect().to_pylist() == [{"name": "j", "state": "RUNNING", "error": None}]
     q = s.jobs["j"]
+    q.stop()  # as if its session had ended
+    later = session.Session(spark, s.catalog)
+    later.sink_format, later._job_folder = "text", s._job_folder
+    assert later.resume_jobs() == ["j"] and later.resume_jobs() == []
+    s, q = later, later.jobs["j"]
+    assert poll(lambda: q.isActive)
     s.sql("STOP JOB j")
     assert not q.isActive and s.sql("SHOW JOBS").collect().to_pylist()[0]["state"] == "STOPPED"
 
