@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from .. import types
 from ..errors import EngineError
+from ..sources.media import read_bytes
 
 #: Rows of one call of a runtime.
 BATCH = 16
@@ -24,23 +25,11 @@ MOCK_BOX, MOCK_CONFIDENCE = (0.25, 0.25, 0.5, 0.5), 0.9
 UNAVAILABLE = ("transformers", "vllm", "sglang", "llama-cpp")
 
 
-def read_artifact(source: str) -> bytes:
-    """The bytes of a model file, on any file system that Arrow reaches."""
-    if "://" not in source or source.startswith("file://"):
-        with open(source.removeprefix("file://"), "rb") as f:
-            return f.read()
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(source)
-    with system.open_input_stream(path) as f:
-        return f.read()
-
-
 def artifact_hash(source: str) -> str:
     """SHA-256 of a model file, or of the source text where there is no file to read."""
     if not source.startswith(("mock://", "triton+")):
         try:
-            return hashlib.sha256(read_artifact(source)).hexdigest()
+            return hashlib.sha256(read_bytes(source)).hexdigest()
         except (OSError, ValueError):
             pass
     return hashlib.sha256(source.encode()).hexdigest()
@@ -121,7 +110,7 @@ def _session(key: str, source: str):
 
         options = onnxruntime.SessionOptions()
         options.intra_op_num_threads = 1
-        _SESSIONS[key] = onnxruntime.InferenceSession(read_artifact(source), options, providers=["CPUExecutionProvider"])
+        _SESSIONS[key] = onnxruntime.InferenceSession(read_bytes(source), options, providers=["CPUExecutionProvider"])
     return _SESSIONS[key]
 
 

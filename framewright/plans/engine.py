@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import session
+from ..catalog.store import Catalog
 from ..errors import EngineError
 from ..models import graphs
 from ..models.runtime import Model
@@ -318,6 +319,43 @@ def stream_tumble_having(spark: SparkSession, d: str) -> DataFrame:
     return found.selectExpr("CAST(w AS TIMESTAMP_NTZ) AS w", "n", "total")
 
 
+@query("stream_recording", "SELECT range AS n, make_timestamp((CASE WHEN range < 20 THEN 1000 + range * 200 ELSE 2000 + range * 200 END) * 1000) AS ts FROM range(40)")
+def stream_recording(spark: SparkSession, d: str) -> DataFrame:
+    """A recording of two connections at 25 frames a second, sampled at 5, event times by the capture clock."""
+    path = f"{_shared(spark, 'recording')}.jsonl"
+    packets = [{"connection": c, "pts_ms": 40 * k, "ingest_ms": begin + 40 * k + (k % 3 if k else 0)} for c, begin in ((0, 1000), (1, 6000)) for k in range(100)]
+    _put(spark, path, "\n".join(map(json.dumps, packets)).encode())
+    s = _connect(spark, f"CREATE TABLE cam USING RTSP OPTIONS (url = 'rtsp://replay', recording = '{path}', fps = 5)")
+    rows = s.sql("SELECT frame_id, ts FROM cam LIMIT 40").collect().to_pylist()
+    return spark.createDataFrame([(r["frame_id"], r["ts"]) for r in rows], "n long, ts timestamp").selectExpr("n", "CAST(ts AS TIMESTAMP_NTZ) AS ts")
+
+
+CATALOG_STEPS = ["first", "updated", "snapshot kept", "CATALOG_CONFLICT", "OBJECT_ALREADY_EXISTS", "second generation", "RUNNING", "STOPPED", "STOPPED"]
+
+
+@query("catalog_revisions", values("step, outcome", list(enumerate(CATALOG_STEPS))))
+def catalog_revisions(spark: SparkSession, d: str) -> DataFrame:
+    c, out = Catalog(), []
+    first = c.put("TABLE", "T", {"a": 1})
+    before = c.snapshot()
+    out.append("first" if before.get("TABLE", "t").body == {"a": 1} else "")
+    c.put("TABLE", "t", {"a": 2}, expected=first)
+    out += ["updated" if c.snapshot().get("TABLE", "t").body == {"a": 2} else "", "snapshot kept" if before.get("TABLE", "t").body == {"a": 1} else ""]
+    c.put("MODEL", "m", {})
+    for change in (lambda: c.put("TABLE", "t", {"a": 3}, expected=first), lambda: c.put("FUNCTION", "m", {})):
+        try:
+            change()
+            out.append("")
+        except EngineError as e:
+            out.append(e.symbol)
+    c.drop("TABLE", "t")
+    c.put("TABLE", "t", {})
+    out.append("second generation" if c.snapshot().get("TABLE", "t").generation == 2 else "")
+    c.put("JOB", "j", {"state": "STARTING", "sql": "x", "error": None})
+    out += [c.move_job("j", state)["state"] for state in ("RUNNING", "STOPPED", "RUNNING")]
+    return spark.createDataFrame(list(enumerate(out)), "step int, outcome string")
+
+
 @query("stream_tumble_replay", """SELECT make_timestamp(epoch_us(ts) - epoch_us(ts) % 60000000) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
 GROUP BY ALL HAVING epoch_us(window_start) + 60000000 <= (SELECT max(epoch_us(ts)) - 2000000 FROM events) // 1000 * 1000""")
 def stream_tumble_replay(spark: SparkSession, d: str) -> DataFrame:

@@ -105,19 +105,23 @@ DECODER = ManifestDecoder()
 _CLIPS: dict[str, bytes] = {}
 
 
+def read_bytes(uri: str) -> bytes:
+    """A file's content, on any file system that Arrow reaches."""
+    if "://" not in uri or uri.startswith("file://"):
+        with open(uri.removeprefix("file://"), "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(path) as f:
+        return f.read()
+
+
 def frame(uri: str, pts_ms: int) -> bytes:
     """The encoded frame of a clip, which a worker reads where a model needs it; the last clip stays open."""
     if uri not in _CLIPS:
         _CLIPS.clear()
-        if "://" in uri and not uri.startswith("file://"):
-            from pyarrow import fs
-
-            system, path = fs.FileSystem.from_uri(uri)
-            with system.open_input_stream(path) as f:
-                _CLIPS[uri] = f.read()
-        else:
-            with open(uri.removeprefix("file://"), "rb") as f:
-                _CLIPS[uri] = f.read()
+        _CLIPS[uri] = read_bytes(uri)
     return DECODER.frame(_CLIPS[uri], pts_ms)
 
 
