@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,7 +60,8 @@ def remove(spark: SparkSession, path: str) -> None:
 def _remove_made() -> None:
     if SparkContext._active_spark_context is not None and (spark := SparkSession.getActiveSession()) is not None:
         for path in _made:
-            remove(spark, path)
+            with suppress(Exception):  # the cluster may be gone by now
+                remove(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
