@@ -7,7 +7,8 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -293,9 +294,22 @@ through_session("introspection", "SELECT arrow_typeof(1.5F) AS f, array_ndims([[
 CAMERA = "CREATE TABLE cam USING RTSP OPTIONS (url = 'rtsp://replay', rows = 200, rowsPerBatch = 50, fps = 10)"
 
 
+@contextmanager
+def _few_partitions(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep the little state of these queries in few partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def _collected(spark: SparkSession, text: str, columns: str) -> DataFrame:
     """A query over a replayed camera, run as a stream until its LIMIT."""
-    return spark.createDataFrame([tuple(r.values()) for r in _connect(spark, CAMERA).sql(text).collect().to_pylist()], columns)
+    with _few_partitions(spark):
+        found = _connect(spark, CAMERA).sql(text).collect()
+    return spark.createDataFrame([tuple(r.values()) for r in found.to_pylist()], columns)
 
 
 @query("stream_limit_offset", "SELECT 15 + range AS n FROM range(120) LIMIT 120")
@@ -364,7 +378,8 @@ def stream_tumble_replay(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events.parque[t]").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "value")
     out = _shared(spark, "windows")
     found = windows.tumbling(stream, "1 minute", ["event_type"], [("count", "*", "n"), ("sum", "value", "total")])
-    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
+    with _few_partitions(spark):
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).selectExpr("CAST(window_start AS TIMESTAMP_NTZ) AS window_start", "event_type", "n", "round(total, 4) AS total")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import struct
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -107,8 +108,8 @@ _CLIPS: dict[str, bytes] = {}
 
 def read_bytes(uri: str) -> bytes:
     """A file's content, on any file system that Arrow reaches."""
-    if "://" not in uri or uri.startswith("file://"):
-        with open(uri.removeprefix("file://"), "rb") as f:
+    if "://" not in uri or uri.startswith("file:"):
+        with open(re.sub("^file:/+", "/", uri), "rb") as f:
             return f.read()
     from pyarrow import fs
 
