@@ -32,7 +32,7 @@ TOP = 5
 #: Lengths of the word openings that are features beside the word itself.
 OPENINGS = (4, 5)
 #: Words kept in a worker's memory before the memo is emptied.
-MEMO = 150_000
+MEMO = 100_000
 
 #: Readings of characters used for letters.
 LEET = {
@@ -313,15 +313,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(grams, counts, weights, tuple(map(float, line)), all_pos / (all_pos + all_neg))
 
 
+#: What most words say, one object for all of them.
+_NOTHING: tuple[float, tuple[str, ...]] = (0.0, ())
+
+
 class Scorer:
     def __init__(self, m: Model):
         self.m, self.restorer, self.memo = m, Restorer(m.grams, m.counts), {}
 
-    def _known(self, word: str) -> tuple[float, list[str]]:
+    def _known(self, word: str) -> tuple[float, tuple[str, ...]]:
         """The weight of a word by itself, and its openings that weigh more where another word shares them; nothing for most words."""
         w = self.m.weights
         own = max((w.get(f, 0.0) for f in (f"={word}", *openings(word))), default=0.0)
-        return own, [o for o in openings(word) if w.get(f"{o}*", 0.0) > own]
+        more = tuple(o for o in openings(word) if w.get(f"{o}*", 0.0) > own)
+        return (own, more) if own or more else _NOTHING
 
     def __call__(self, text: str | None) -> float:
         m, memo = self.m, self.memo
