@@ -122,7 +122,7 @@ def videos_sampled(spark: SparkSession, d: str) -> DataFrame:
     return s.sql("SELECT pts_ms, frame_id, CAST(ts AS TIMESTAMP_NTZ) AS ts, fps, duration FROM v").df
 
 
-@query("videos_time_filter", values("pts_ms", [(1000,), (1200,), (1400,), (1600,), (1800,)]))
+@query("videos_time_filter", "SELECT 1000 + range * 200 AS pts_ms FROM range(5)")
 def videos_time_filter(spark: SparkSession, d: str) -> DataFrame:
     s = _connect(spark, f"CREATE TABLE v USING VIDEOS OPTIONS (fps = 5) LOCATION '{_clips(spark)}'")
     return s.sql("SELECT pts_ms FROM v WHERE ts >= TIMESTAMP '1970-01-01 00:00:01' AND ts < TIMESTAMP '1970-01-01 00:00:02'").df
@@ -283,10 +283,10 @@ through_session("distinct_on_nested", "WITH f AS (SELECT DISTINCT ON (o_custkey)
 through_session("groups_frame_sql", "SELECT p_partkey, sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM part WHERE p_size > 3",
     "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s FROM part WHERE p_size > 3", "part")
 through_session("star_replace", "SELECT * REPLACE (n_nationkey * 10 AS n_nationkey) FROM nation", "SELECT * REPLACE (n_nationkey * 10 AS n_nationkey) FROM nation", "nation")
-through_session("window_named", "SELECT o_orderkey, rank() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)", "SELECT o_orderkey, rank() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)", "orders")
+through_session("window_named", "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)", "SELECT o_orderkey, rank() OVER w AS r FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)", "orders")
 through_session("unnest_in_select", "SELECT vec_id, UNNEST(embedding) AS x FROM embeddings", "SELECT vec_id, unnest(embedding) AS x FROM embeddings", "embeddings")
 through_session("center_of_a_box", "SELECT p_partkey, named_struct('x', CAST(p_size AS FLOAT), 'y', 0F, 'w', 2F, 'h', 4F).center.x AS cx FROM part", "SELECT p_partkey, CAST(p_size + 1 AS FLOAT) AS cx FROM part", "part")
-through_session("introspection", "SELECT arrow_typeof(1.5F) AS f, array_ndims([[1], [2]]) AS dims, arrow_typeof('x') AS s", "SELECT 'float' AS f, 2 AS dims, 'string' AS s")
+through_session("introspection", "SELECT arrow_typeof(1.5F) AS f, array_ndims([[1], [2]]) AS dims, arrow_typeof('x') AS s", "SELECT 'float' AS f, CAST(2 AS BIGINT) AS dims, 'string' AS s")
 
 
 # streams
@@ -327,7 +327,7 @@ def stream_inference(spark: SparkSession, d: str) -> DataFrame:
     return _collected(spark, "SELECT frame_id AS n, u.d.label AS label FROM cam, UNNEST(AI_DETECT(frame, ['cat'])) AS u(d) LIMIT 30", "n long, label string")
 
 
-@query("stream_tumble_having", "SELECT make_timestamp(range * 2000000) AS w, 20 AS n, 20 * range * 20 + 190 AS total FROM range(1, 7)")
+@query("stream_tumble_having", "SELECT make_timestamp(range * 2000000) AS w, CAST(20 AS BIGINT) AS n, 20 * range * 20 + 190 AS total FROM range(1, 7)")
 def stream_tumble_having(spark: SparkSession, d: str) -> DataFrame:
     found = _collected(spark, "SELECT TUMBLE(ts, INTERVAL '2' SECOND) w, count(*) AS n, sum(frame_id) AS total FROM cam GROUP BY 1 HAVING sum(frame_id) > 200 LIMIT 6", "w timestamp, n long, total long")
     return found.selectExpr("CAST(w AS TIMESTAMP_NTZ) AS w", "n", "total")
@@ -370,8 +370,8 @@ def catalog_revisions(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(out)), "step int, outcome string")
 
 
-@query("stream_tumble_replay", """SELECT make_timestamp(epoch_us(ts) - epoch_us(ts) % 60000000) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
-GROUP BY ALL HAVING epoch_us(window_start) + 60000000 <= (SELECT max(epoch_us(ts)) - 2000000 FROM events) // 1000 * 1000""")
+@query("stream_tumble_replay", """SELECT * FROM (SELECT make_timestamp(epoch_us(ts) - epoch_us(ts) % 60000000) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+WHERE epoch_us(window_start) + 60000000 <= (SELECT max(epoch_us(ts)) - 2000000 FROM events) // 1000 * 1000""")
 def stream_tumble_replay(spark: SparkSession, d: str) -> DataFrame:
     """Events replayed as a file stream through watermarked windows into files."""
     events = table(spark, d, "events")
