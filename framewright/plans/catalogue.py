@@ -331,7 +331,8 @@ sql("join_theta", "SELECT n.n_name, r.r_name FROM {nation} n JOIN {region} r ON
 sql("join_cross", "SELECT n.n_nationkey, r.r_regionkey FROM {nation} n CROSS JOIN {region} r", "nation region")
 sql("join_using", "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FROM {nation}) x JOIN (SELECT r_regionkey AS k, r_name AS b FROM {region}) y USING (k)", "nation region")
 sql("join_natural", "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FROM {nation}) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM {region}) y", "nation region")
-sql("join_lateral", "SELECT c_custkey, t.o_orderkey FROM {customer} c, LATERAL (SELECT o_orderkey FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t", "customer orders")
+# Spark keeps the order of a correlated LIMIT only over columns that are selected beside it; by others it sorts the whole table, and the shuffle by customer that follows takes rows as they arrive.
+sql("join_lateral", "SELECT c_custkey, t.o_orderkey FROM {customer} c, LATERAL (SELECT o_orderkey, o_totalprice FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey NULLS LAST LIMIT 1) t", "customer orders", "SELECT c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) t")
 sql("join_multiway", "SELECT n.n_name, count(*) AS n_lines, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM {lineitem} l JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {nation} n ON s.s_nationkey = n.n_nationkey JOIN {region} r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name", "lineitem supplier nation region")
 sql("subquery_scalar", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) FROM {orders})", "orders")
 sql("subquery_correlated", "SELECT s_suppkey FROM {supplier} s WHERE s_acctbal > (SELECT avg(t.s_acctbal) FROM {supplier} t WHERE t.s_nationkey = s.s_nationkey)", "supplier")

@@ -50,3 +50,24 @@ def test_scan_reads_two_columns_and_pushes_the_filter(spark):
     df = catalogue.table(spark, SF, "orders").where("o_totalprice > 1000").select("o_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan and "GreaterThan(o_totalprice,1000.0)" in plan
+
+
+def written(path, **tables):
+    """Tables of the folder and DuckDB's SQL over them."""
+    c = duckdb.connect()
+    for name, text in tables.items():
+        c.execute(f"COPY ({text}) TO '{path}/{name}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet'")
+    return c
+
+
+def test_lateral_limit_is_ordered_within_each_customer(spark, tmp_path):
+    """The order has to stand in the window: one that a sort before the shuffle leaves is lost where blocks arrive in another order."""
+    c = written(
+        tmp_path, customer="SELECT * FROM (VALUES (1::BIGINT), (1), (2), (3), (4), (NULL)) t(c_custkey)",
+        orders="SELECT * FROM (VALUES (NULL::BIGINT, 1::BIGINT, 5::DOUBLE), (12, 1, 5), (11, 1, 5), (13, 1, 4), (20, 2, NULL), (21, 2, 1), (30, 3, NULL), (31, 3, NULL), (50, NULL, 9)) t(o_orderkey, o_custkey, o_totalprice)",
+    )
+    df = catalogue.QUERIES["join_lateral"](spark, str(tmp_path))
+    assert rows(df.toArrow()) == rows(c.sql(catalogue.ORACLES["join_lateral"]).to_arrow_table())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "row_number() windowspecdefinition(o_custkey" in plan and "o_totalprice" in plan.split("row_number() windowspecdefinition(", 1)[1].split("specifiedwindowframe")[0]
