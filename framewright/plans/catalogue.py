@@ -349,7 +349,8 @@ sql("agg_stats", "SELECT l_returnflag, round(stddev_pop(l_quantity), 6) AS sp, r
 sql("agg_bool_bit", "SELECT s_nationkey, bool_and(s_acctbal > 0) AS ba, bool_or(s_acctbal > 9000) AS bo, bit_and(s_suppkey) AS a, bit_or(s_suppkey) AS o, bit_xor(s_suppkey) AS x FROM {supplier} GROUP BY s_nationkey", "supplier")
 sql("agg_median_percentile", "SELECT l_returnflag, median(l_quantity) AS med, percentile_cont(0.9) WITHIN GROUP (ORDER BY l_quantity) AS p90 FROM {lineitem} GROUP BY l_returnflag", "lineitem")
 sql("agg_array_string", "SELECT n_regionkey, array_join(sort_array(collect_list(n_name)), ',') AS all_names, listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name DESC) AS listed, min_by(n_name, n_nationkey) AS first_name FROM {nation} GROUP BY n_regionkey", "nation", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS all_names, string_agg(n_name, ';' ORDER BY n_name DESC) AS listed, arg_min(n_name, n_nationkey) AS first_name FROM nation GROUP BY n_regionkey")
-sql("agg_approx", "SELECT approx_count_distinct(l_orderkey) BETWEEN 0.8 * count(DISTINCT l_orderkey) AND 1.2 * count(DISTINCT l_orderkey) AS distinct_ok, abs(percentile_approx(l_quantity, 0.5) - 25) <= 2 AS median_ok FROM {lineitem}", "lineitem", "SELECT true AS distinct_ok, true AS median_ok")
+# Beside count(DISTINCT k), Spark keeps the sketches of the other aggregates for each k; the exact count therefore has a branch of its own.
+sql("agg_approx", "SELECT near BETWEEN 0.8 * n AND 1.2 * n AS distinct_ok, abs(middle - 25) <= 2 AS median_ok FROM (SELECT approx_count_distinct(l_orderkey) AS near, percentile_approx(l_quantity, 0.5) AS middle FROM {lineitem}) a CROSS JOIN (SELECT count(l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey FROM {lineitem}) k) b", "lineitem", "SELECT true AS distinct_ok, true AS median_ok")
 sql("select_distinct", "SELECT DISTINCT p_brand, p_size FROM {part}", "part")
 
 sql("win_ranks", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER v AS r, dense_rank() OVER v AS dr, round(percent_rank() OVER v, 8) AS pr, round(cume_dist() OVER v, 8) AS cd, ntile(4) OVER w AS nt FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey), v AS (PARTITION BY o_orderstatus ORDER BY o_custkey)", "orders")

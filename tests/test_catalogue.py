@@ -71,3 +71,19 @@ def test_lateral_limit_is_ordered_within_each_customer(spark, tmp_path):
     assert rows(df.toArrow()) == rows(c.sql(catalogue.ORACLES["join_lateral"]).to_arrow_table())
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "row_number() windowspecdefinition(o_custkey" in plan and "o_totalprice" in plan.split("row_number() windowspecdefinition(", 1)[1].split("specifiedwindowframe")[0]
+
+
+@pytest.mark.parametrize(
+    ("lines", "want"),
+    [
+        ("SELECT NULL::BIGINT AS l_orderkey, 25::DOUBLE AS l_quantity UNION ALL SELECT 7, 25 FROM range(3)", (True, True)), ("SELECT NULL::BIGINT AS l_orderkey, 25::DOUBLE AS l_quantity FROM range(3)", (True, True)),
+        ("SELECT range AS l_orderkey, 60::DOUBLE AS l_quantity FROM range(300)", (True, False)), ("SELECT 1::BIGINT AS l_orderkey, 25::DOUBLE AS l_quantity WHERE false", (True, None)),
+    ],
+)
+def test_approximate_aggregates_keep_no_sketch_for_each_key(lines, want, spark, tmp_path):
+    """Beside the exact count of keys, sketches are of the whole table: one for each key and quantiles for each key take a table's memory many times."""
+    written(tmp_path, lineitem=lines)
+    df = catalogue.QUERIES["agg_approx"](spark, str(tmp_path))
+    assert [tuple(r) for r in df.collect()] == [want]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "approx_count_distinct(l_orderkey" in plan and "percentile_approx(l_quantity" in plan and "ObjectHashAggregate(keys=[l_orderkey" not in plan
